@@ -67,13 +67,12 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     begins = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
     begins = begins[begins < len(data)]
-    stops = np.unique(np.concatenate((offsets[1:], breaks)))
-    ends = stops[np.searchsorted(stops, begins, "left")] if len(begins) else begins
+    line_row = np.searchsorted(offsets, begins, "right") - 1
+    ends = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, begins)], offsets[line_row + 1])
     first = np.searchsorted(words.starts, begins)
     last = np.searchsorted(words.starts, ends)
     held = last > first
-    begins, ends, first, last = begins[held], ends[held], first[held], last[held]
-    line_row = np.searchsorted(offsets, begins, "right") - 1
+    begins, ends, first, last, line_row = begins[held], ends[held], first[held], last[held], line_row[held]
     raw = K.span_hash(data, begins, ends)
     seen_order = np.lexsort((begins, raw, line_row)) if len(raw) else np.empty(0, np.int64)
     r, h = line_row[seen_order], raw[seen_order]
