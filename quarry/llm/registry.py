@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import op6_topk, op8_mixing, op9_quality
+from quarry.llm import op1_language, op6_topk, op7_pii, op8_mixing, op9_quality
 
 QUERIES = {
+    "op1_language": op1_language.query,
     "op6_topk": op6_topk.query,
+    "op7_pii": op7_pii.query,
     "op8_mixing": op8_mixing.query,
     "op9_quality": op9_quality.query,
+    "pages_language": op1_language.pages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
