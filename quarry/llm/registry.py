@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import op1_language, op6_topk, op7_pii, op8_mixing, op9_quality
+from quarry.llm import op1_language, op2_simhash, op6_topk, op7_pii, op8_mixing, op9_quality, op10_sentencepiece
 
 QUERIES = {
     "op1_language": op1_language.query,
+    "op2_simhash": op2_simhash.query,
     "op6_topk": op6_topk.query,
     "op7_pii": op7_pii.query,
     "op8_mixing": op8_mixing.query,
     "op9_quality": op9_quality.query,
+    "op10_sentencepiece": op10_sentencepiece.query,
     "pages_language": op1_language.pages,
 }
 
