@@ -134,34 +134,31 @@ def grams(hashes: np.ndarray, first: np.ndarray, k: int, base: np.uint64 = _Q) -
     return out, valid
 
 
+def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each w consecutive values, from prefix and suffix minima of blocks of w."""
+    n = len(values)
+    blocks = -(-n // w)
+    padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = values
+    table = padded.reshape(blocks, w)
+    ahead = np.minimum.accumulate(table, axis=1).ravel()
+    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
+
+
 def minimisers(gram: np.ndarray, valid: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
     """Positions of the k-grams that are smallest (leftmost on ties) among some w consecutive ones
     of one row. A row with fewer than w k-grams has none: it holds no window of w + k - 1 words."""
     n = len(gram)
     if n < w:
         return np.empty(0, np.int64)
-    # van Herk: minima of w consecutive values from prefix and suffix minima of blocks of w
-    blocks = -(-n // w)
-    padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = gram
-    table = padded.reshape(blocks, w)
-    ahead = np.minimum.accumulate(table, axis=1).ravel()
-    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    lowest = np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
-    windows = valid[: n - w + 1] & valid[w - 1 :]
+    lowest = sliding_min(gram, w)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    windows &= row[: n - w + 1] == row[w - 1 :]
-    # the leftmost position from the window's start on that holds its minimum
-    at = np.flatnonzero(windows)
-    if not len(at):
-        return np.empty(0, np.int64)
+    at = np.flatnonzero(valid[: n - w + 1] & valid[w - 1 :] & (row[: n - w + 1] == row[w - 1 :]))
     found = np.zeros(n, bool)
-    left = at
-    want = lowest[at]
-    for step in range(w):
+    left, want = at, lowest[at]
+    for step in range(w):  # the leftmost position of the window that holds its minimum
         hit = gram[left + step] == want
         found[left[hit] + step] = True
         left, want = left[~hit], want[~hit]
-        if not len(left):
-            break
     return np.flatnonzero(found)

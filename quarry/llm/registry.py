@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import op1_language, op2_simhash, op6_topk, op7_pii, op8_mixing, op9_quality, op10_sentencepiece
+from quarry.llm import op1_language, op2_simhash, op4_substrings, op6_topk, op7_pii, op8_mixing, op9_quality, op10_sentencepiece
 
 QUERIES = {
     "op1_language": op1_language.query,
     "op2_simhash": op2_simhash.query,
+    "op4_substrings": op4_substrings.query,
     "op6_topk": op6_topk.query,
     "op7_pii": op7_pii.query,
     "op8_mixing": op8_mixing.query,
