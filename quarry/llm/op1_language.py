@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import map_arrow, materialise, table, with_row
+from quarry.llm.common import map_arrow, materialise, table
+from quarry.llm.slabs import numbered
 
 SAMPLE_ROWS, MAX_LANGUAGES, CODES = 20_000, 64, 1 << 16
 TEMPER, MIN_CONFIDENCE = 0.3, 0.6
@@ -120,14 +121,15 @@ def _argmax(values: Column) -> Column:
 
 def identify(
     docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", key: str = "doc_id", declared: Column | None = None, suffix: Column | None = None,
-    host: Column | None = None, temper: float = TEMPER, min_confidence: float = MIN_CONFIDENCE,
+    host: Column | None = None, temper: float = TEMPER, min_confidence: float = MIN_CONFIDENCE, rows: str | None = None,
 ) -> DataFrame:
     """(key, language, confidence, text_language, kept), one row per row of docs."""
     languages, logs = model
     names = [*languages, "und"]
     logs = np.vstack([logs, np.full((1, CODES), -np.log(CODES), np.float32)])
     none = F.lit(None).cast("string")
-    slim = with_row(docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *[(none if c is None else c.cast("string")).alias(a) for c, a in ((declared, "_declared"), (suffix, "_suffix"), (host, "_host"))]))
+    numbers = F.monotonically_increasing_id() if rows is None else F.col(rows)
+    slim = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *[(none if c is None else c.cast("string")).alias(a) for c, a in ((declared, "_declared"), (suffix, "_suffix"), (host, "_host"))], numbers.alias("_row"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "_text")
     scored = materialise(map_arrow(slim, _score_kernel(logs), f"{kept}, _grams bigint, _logs array<double>").withColumn("_first", F.when(F.col("_grams") > 0, _argmax(F.col("_logs")))), "language")
     size = len(names)
@@ -170,6 +172,16 @@ def of_documents(docs: DataFrame) -> DataFrame:
     return identify(docs, fit(docs, "text", "lang", "doc_id"), declared=F.col("lang"), host=F.col("source"))
 
 
+def keep_known(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang", host: str = "source") -> DataFrame:
+    """docs without those that are rejected; columns stay. The rejected rows are the smaller side of
+    the join, broadcast where their file is small enough for the session's threshold."""
+    base = numbered(docs, text, key, docs.columns)
+    named = lambda c: F.col(f"c{docs.columns.index(c)}")
+    found = identify(base, fit(docs, text, label, key), "_text", "_key", declared=named(label), host=named(host), rows="_row")
+    gone = materialise(found.where(~F.coalesce("kept", F.lit(False))).select(F.col("_row").alias("_gone")), "language-gone")
+    return base.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_documents(table(spark, sf_dir, "documents")).drop("_row")
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm import kernels as K
 from quarry.llm.common import map_arrow, materialise, table, with_row
 from quarry.llm.components import components
+from quarry.llm.slabs import numbered
 
 SHINGLE, BITS, SEED = 3, 3, 42
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -158,9 +159,11 @@ def _linked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         yield out(links)
 
 
-def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(_row, key, fingerprint, component_id): component_id is the smallest key in reach."""
-    slim = with_row(docs.select(F.col(text).alias("_text"), F.col(key).alias("_key")))
+def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, bits: int = BITS, rows: str | None = None) -> DataFrame:
+    """(_row, key, fingerprint, component_id, _part): component_id is the smallest key in reach, _part
+    a number of the component that holds even where keys repeat."""
+    slim = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *[F.col(r).alias("_row") for r in [rows] if r])
+    slim = slim if rows else with_row(slim)
     kind = slim.schema["_key"].dataType.simpleString()
     kernel = _kernel if shingle == SHINGLE else _kernel_of(shingle)
     marked = materialise(map_arrow(slim, kernel, f"_key {kind}, _row bigint, _fp bigint"), "simhash")
@@ -174,9 +177,9 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     named = distinct.join(part, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("component", "_fp").alias("_part"))
     # the smallest key of a component: minima of minima, pre-aggregated
     least = named.groupBy("_part").agg(F.min("_least").alias("component_id"))
-    of_fp = named.select("_fp", "_part").join(least, "_part").select(F.col("_fp").alias("_f"), "component_id")
+    of_fp = named.select("_fp", "_part").join(least, "_part").select(F.col("_fp").alias("_f"), "component_id", "_part")
     out = marked.join(of_fp, F.col("_fp") == F.col("_f"))
-    return out.select("_row", F.col("_key").alias(key), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("_row", F.col("_key").alias(key), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "_part")
 
 
 def _kernel_of(shingle: int):
@@ -187,5 +190,18 @@ def _kernel_of(shingle: int):
     return kernel
 
 
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, bits: int = BITS) -> DataFrame:
+    """docs with one document of each group: the one with the smallest key, the first row of equal
+    ones. The rows that go are the smaller side of the join; it is broadcast where its file is small
+    enough for the session's threshold."""
+    base = numbered(docs, text, key, docs.columns)
+    found = materialise(groups(base, "_text", "_key", shingle, bits, rows="_row"), "simhash-groups")
+    place = F.struct(F.col("_key").isNull(), "_key", "_row")
+    first = found.groupBy("_part").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_part").alias("_p"), F.col("_first._row").alias("_stays"))
+    gone = materialise(found.join(first, F.col("_part") == F.col("_p")).where("_row != _stays").select(F.col("_row").alias("_gone")), "simhash-gone")
+    out = base.join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents")).drop("_row")
+    return groups(table(spark, sf_dir, "documents")).drop("_row", "_part")

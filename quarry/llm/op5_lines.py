@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -289,5 +290,36 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     return out.withColumnRenamed("_key", key)
 
 
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the removed lines; documents that had words and lose them all go. Columns stay."""
+    base = numbered(docs, text, key, docs.columns)
+    at = docs.columns.index(text)
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+
+    def cut(rows: pa.RecordBatch, words: K.Words, line: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin, row = line_bounds(words)
+        gone = np.zeros(len(begin), bool)
+        gone[line] = True
+        stop = np.append(begin[1:], len(words.data))  # a line holds its line break, if it has one
+        keep = np.repeat(~gone, stop - begin)
+        # where the last lines of a row go, the break before them goes too
+        last = np.full(rows.num_rows, -1)
+        np.maximum.at(last, row[~gone], np.flatnonzero(~gone))
+        end = np.searchsorted(row, np.arange(rows.num_rows), "right") - 1
+        cut_short = last[(last >= 0) & (last < end)]
+        keep[stop[cut_short] - 1] = False
+        total = np.concatenate(([0], np.cumsum(keep)))[words.offsets]
+        left = np.concatenate(([0], np.cumsum(~gone[np.searchsorted(begin, words.starts, "right") - 1])))
+        alive = (left[words.first[1:]] > left[words.first[:-1]]) | (words.counts == 0)
+        texts = pa.Array.from_buffers(pa.string(), rows.num_rows, [None, pa.py_buffer(total.astype(np.int32).tobytes()), pa.py_buffer(words.data[keep].tobytes())])
+        nulls = rows.column(0).is_valid()
+        columns = list(rows.columns[3:])
+        columns[at] = pa.compute.if_else(nulls, texts, pa.scalar(None, pa.string()))
+        yield pa.RecordBatch.from_arrays(columns, rows.schema.names[3:]).filter(pa.array(alive))
+
+    out = with_texts(base, removed(base, threshold), ["_line"], cut, fields, "left")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))

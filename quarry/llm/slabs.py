@@ -25,13 +25,14 @@ from quarry.llm.common import map_arrow, materialise
 SLAB_BYTES = 1 << 20
 
 
-def numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(_text, _key, _row) with row numbers that every later scan repeats."""
-    slim = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"))
+def numbered(docs: DataFrame, text: str, key: str, keep: list[str] | None = None) -> DataFrame:
+    """(_text, _key, _row, c0, c1...) with row numbers that every later scan repeats; c0... are the
+    columns to keep, which travel with the slabs."""
+    slim = docs.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{key}`").alias("_key"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep or [])])
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     if not all(re.match(r"[\s:+-]*(Project|Filter|Relation|LogicalRelation|RelationV2)\b", line) for line in plan.splitlines() if line.strip()) or "rand" in plan:
         slim = materialise(slim, "slab-documents")
-    return slim.withColumn("_row", F.monotonically_increasing_id())
+    return slim.select("_text", "_key", F.monotonically_increasing_id().alias("_row"), *slim.columns[2:])
 
 
 def slabs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
