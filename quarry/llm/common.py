@@ -25,12 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Removes the shuffle files of a query when it ends (off by default in Spark).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes a slim intermediate as Parquet to the shared folder and reads it
-    back, so that a lost executor costs no recomputation and no second scan of the texts."""
+    back, so that a lost executor costs no recomputation and no second scan of the texts. The shuffle
+    files behind it go at once, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -140,7 +140,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], min_words: int, left: int, ed
         if good.any():
             yield found(np.concatenate((c[1:][good], c[:-1][good])), np.tile(b[good], 2), np.tile(r[good], 2))
         tail = batch.slice(batch.num_rows - 1, 1)
-        last = pa.RecordBatch.from_arrays([pa.array(x.to_pylist(), x.type) for x in tail.columns], tail.schema.names)
+        last = pa.RecordBatch.from_arrays([pa.array(x.to_pylist(), x.type) for x in tail.columns], schema=batch.schema)
     if last is not None and edges:
         yield edge(last, 0)
 
@@ -150,6 +150,7 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> Da
     _, left, _ = _shape(min_words, seed)
     seen = per_slab(docs, _heads(min_words, seed), "_h bigint, _c bigint, _n bigint")
     shared = seen.groupBy("_h").agg(F.sum("_n").alias("_t"), F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_t > 1").select(F.col("_h").alias("_k"), (F.col("_a") != F.col("_b")).alias("_differ"))
+    shared = materialise(shared, "suffix-heads")  # on its own, so that both sides of the join are dealt by it and a hot head can be split
     placed = per_slab(docs, _placed(min_words, seed), "_slab bigint, _at int, _h bigint, _c bigint")
     found = materialise(placed.join(shared, F.col("_h") == F.col("_k")).drop("_k", "_h"), "suffixes")
     kinds = found.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.first("_slab").alias("_slab"), F.first("_at").alias("_at"), F.first("_differ").alias("_differ"))
@@ -165,7 +166,7 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> Da
     across = rim.mapInArrow(lambda it: _neighbours(it, min_words, left, False), schema)
     pairs = inside.where("_key is null").select("_c", "_l", "_r").union(across.select("_c", "_l", "_r")).distinct()
     whole = kinds.where("_n > 1").select("_c", F.lit(left).alias("_l"), F.lit(min_words).alias("_r"))
-    spans = whole.union(pairs).withColumnRenamed("_c", "_k")
+    spans = materialise(whole.union(pairs).withColumnRenamed("_c", "_k"), "suffix-spans")
     return found.join(spans, F.col("_c") == F.col("_k")).select("_slab", "_at", "_l", "_r")
 
 

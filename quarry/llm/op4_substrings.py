@@ -113,6 +113,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
     occurs elsewhere. docs: as from slabs.numbered."""
     seen = per_slab(docs, _counted(window, seed), "_m bigint, _c bigint, _n bigint")
     shared = seen.groupBy("_m").agg(F.sum("_n").alias("_t"), F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_t > 1").select(F.col("_m").alias("_k"), (F.col("_a") != F.col("_b")).alias("_branches"))
+    shared = materialise(shared, "path-minimisers")  # on its own, so that both sides of the join are dealt by it and a hot minimiser can be split
     placed = per_slab(docs, _placed(window, seed), "_slab bigint, _at int, _size int, _m bigint, _c bigint")
     found = materialise(placed.join(shared, F.col("_m") == F.col("_k")).drop("_k"), "paths")
     kinds = found.groupBy("_m", "_c").agg(F.count(F.lit(1)).alias("_n"), F.first("_slab").alias("_slab"), F.first("_at").alias("_at"), F.first("_size").alias("_size"), F.first("_branches").alias("_branches"))
@@ -123,7 +124,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
     single = opened.where("_n = 1").select("_path", F.posexplode("_edges").alias("_i", "_o"))
     partial = single.join(edges, F.col("_o") == F.col("_e")).groupBy("_path").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_i"))).alias("_mask"))
     whole = kinds.where("_n > 1").select(F.col("_c").alias("_path"), (F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_size")) - 1).alias("_mask"))
-    masks = whole.union(partial)
+    masks = materialise(whole.union(partial), "path-masks")
     return found.join(masks, F.col("_c") == F.col("_path")).select("_slab", "_at", "_mask")
 
 

@@ -10,7 +10,7 @@ similarity 1. Lines without a word stay.
    collapse to their earliest line by a grouped minimum.
 3. The prefix of each set is posted under its tokens. Inside a posting, sets pass the length filter,
    the positional filter and a parity signature (a bound on the symmetric difference). A set is
-   paired with the earliest set that passes, once a posting, so pairs grow with the postings.
+   paired with the few earliest that pass in a posting, so pairs grow with the postings.
 4. Pairs are verified on the words at their source coordinates. Sets that are still unmatched but had
    more candidates in some posting take a second round against all of these.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
 from quarry.llm.common import map_arrow, materialise, table
-from quarry.llm.slabs import numbered, per_slab, slabs, with_texts
+from quarry.llm.slabs import numbered, slabs, with_texts
 
 THRESHOLD, SLOT_BITS, PIECES = 0.8, 18, 64
 _EPS = 1e-9
@@ -74,9 +74,13 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 def line_bounds(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
     """(bytes at which lines begin, row of each); lines are cut at \\n, every row has one at least."""
-    breaks = np.flatnonzero(words.data == 10)
-    row = np.concatenate((np.arange(len(words.offsets) - 1), np.searchsorted(words.offsets, breaks, "right") - 1))
-    begin = np.concatenate((words.offsets[:-1], breaks + 1))
+    return _bounds(words.data, words.offsets)
+
+
+def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    breaks = np.flatnonzero(data == 10)
+    row = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1))
+    begin = np.concatenate((offsets[:-1], breaks + 1))
     order = np.lexsort((begin, row))
     return begin[order], row[order]
 
@@ -100,8 +104,8 @@ def line_sets(words: K.Words, rank: np.ndarray | None) -> tuple[np.ndarray, np.n
 
 
 def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """(_key, _slab, _line, _set, _meta, _prefix array<int>) of the lines with words. _meta packs the
-    number of tokens and a 32-bit parity signature."""
+    """(_key, _slab, _line, _set, _n, _sig, _prefix array<int>) of the lines with words: tokens and a
+    64-bit parity signature."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # 2 MB, a fixed size
     kind = docs.schema["_key"].dataType.simpleString()
 
@@ -115,16 +119,15 @@ def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> Da
             size = n[held]
             # the identity does not depend on the order, which differs between inputs
             ident = K.mix(np.add.reduceat(K.mix(token), bounds[:-1][held]) + size.astype(np.uint64)) if len(held) else np.empty(0, np.uint64)
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(31)), bounds[:-1][held]) if len(held) else np.empty(0, np.uint64)
-            meta = np.minimum(size, (1 << 30) - 1).astype(np.int64) << 32 | parity.astype(np.int64)
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), bounds[:-1][held]) if len(held) else np.empty(0, np.uint64)
             prefix = size - np.ceil(threshold * size - _EPS).astype(np.int64) + 1
             ends = np.cumsum(prefix)
             take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[:-1][held] - (ends - prefix), prefix)
             codes = (token[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(codes))
-            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row[held])), pa.array(np.full(len(held), slab), pa.int64()), pa.array(held, pa.int32()), pa.array(ident.view(np.int64)), pa.array(meta), lists], ["_key", "_slab", "_line", "_set", "_meta", "_prefix"])
+            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row[held])), pa.array(np.full(len(held), slab), pa.int64()), pa.array(held, pa.int32()), pa.array(ident.view(np.int64)), pa.array(size, pa.int32()), pa.array(parity.view(np.int64)), lists], ["_key", "_slab", "_line", "_set", "_n", "_sig", "_prefix"])
 
-    return map_arrow(docs, kernel, f"_key {kind}, _slab bigint, _line int, _set bigint, _meta bigint, _prefix array<int>")
+    return map_arrow(docs, kernel, f"_key {kind}, _slab bigint, _line int, _set bigint, _n int, _sig bigint, _prefix array<int>")
 
 
 def _passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, threshold: float) -> np.ndarray:
@@ -152,26 +155,30 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-_OUT = "a bigint, b bigint, token int, pos int, ord bigint, meta bigint, open boolean"
+_OUT = "a bigint, b bigint, token int, place bigint, ord bigint, sig bigint, open boolean"
+_NAMES = [f.split(" ")[0] for f in _OUT.split(", ")]
+FIRST = 4
 
 
 def _pair_up(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """First round: each set with the earliest that passes, and the rows of postings in which some
-    set had several. With every: the sets marked open with all that pass and are not later."""
+    """Over postings (token, set, place, order, signature[, open]); place packs a set's size and the
+    token's position. First round: each set with the FIRST earliest that pass, and the rows of
+    postings in which some set had more. With every: the open sets with all that pass and are not
+    later."""
     for columns in _groups(batches):
-        token, own, pos, order, meta = columns[:5]
+        token, own, place, order = columns[:4]
+        sig = columns[4].view(np.uint64)  # bits of negative numbers are counted of their absolute value
         mark = columns[5].astype(bool) if every else np.zeros(len(token), bool)
-        n = meta >> 32
         # one row a set and posting, the earliest; then by length inside each posting
         first = np.lexsort((order, own, token))
         same = np.zeros(len(first), bool)
         same[1:] = (token[first][1:] == token[first][:-1]) & (own[first][1:] == own[first][:-1])
         keep = first[~same]
-        keep = keep[np.lexsort((n[keep], token[keep]))]
-        token, own, pos, order, meta, n, mark = (x[keep] for x in (token, own, pos, order, meta, n, mark))
-        sig, pos64 = meta & 0xFFFFFFFF, pos.astype(np.int64)
+        keep = keep[np.lexsort((place[keep], token[keep]))]
+        token, own, place, order, sig, mark = (x[keep] for x in (token, own, place, order, sig, mark))
+        n, pos = place >> 32, place & 0xFFFFFFFF
         size = len(token)
-        best, best_order = np.full(size, -1), np.full(size, np.iinfo(np.int64).max)
+        best, best_order = np.full((size, FIRST), -1), np.full((size, FIRST), np.iinfo(np.int64).max)
         several = np.zeros(size, np.int64)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         i, step = np.arange(1, size), 1
@@ -179,59 +186,63 @@ def _pair_up(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -
             j = i - step
             ok = (token[j] == token[i]) & (n[j] >= threshold * n[i] - _EPS)  # shorter rows are further off still
             i, j = i[ok], j[ok]
-            if every:
-                hit = mark[i] | mark[j]
-                hit[hit] = _passing(i[hit], j[hit], n, pos64, sig, threshold)
-                x, y = i[hit], j[hit]
-                a, b = mark[x] & (order[y] <= order[x]), mark[y] & (order[x] <= order[y])
-                out += [(x[a], y[a]), (y[b], x[b])]
-            else:
-                hit = _passing(i, j, n, pos64, sig, threshold)
-                for x, y in ((i[hit], j[hit]), (j[hit], i[hit])):
-                    back = order[y] <= order[x]
-                    x, y = x[back], y[back]
-                    several[x] += 1
-                    less = order[y] < best_order[x]
-                    best[x[less]], best_order[x[less]] = y[less], order[y[less]]
-                    tie = (best[x] < 0) & ~less
-                    best[x[tie]], best_order[x[tie]] = y[tie], order[y[tie]]
+            hit = mark[i] | mark[j] if every else np.ones(len(i), bool)
+            hit[hit] = _passing(i[hit], j[hit], n, pos, sig, threshold)
+            for x, y in ((i[hit], j[hit]), (j[hit], i[hit])):
+                back = order[y] <= order[x]
+                if every:
+                    back &= mark[x]
+                    out.append((x[back], y[back]))
+                    continue
+                x, y = x[back], y[back]
+                several[x] += 1
+                worst = best_order[x].argmax(1)
+                worst = np.where((best[x] < 0).any(1), (best[x] < 0).argmax(1), worst)
+                less = (best[x, worst] < 0) | (order[y] < best_order[x, worst])
+                best[x[less], worst[less]], best_order[x[less], worst[less]] = y[less], order[y[less]]
             step += 1
             i = i[i >= step]
         if not every:
-            x = np.flatnonzero(best >= 0)
-            out.append((x, best[x]))
+            x, k = np.nonzero(best >= 0)
+            out.append((x, best[x, k]))
         a, b = (np.concatenate([p[k] for p in out]) if out else np.empty(0, np.int64) for k in (0, 1))
         if len(a):
-            none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())]
-            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b]), *none], [f.split(" ")[0] for f in _OUT.split(", ")])
-        if not every and (several > 1).any():
-            dense = np.isin(token, token[several > 1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[dense]), pa.nulls(int(dense.sum()), pa.int64()), pa.array(token[dense]), pa.array(pos[dense]), pa.array(order[dense]), pa.array(meta[dense]), pa.array(several[dense] > 1)],
-                [f.split(" ")[0] for f in _OUT.split(", ")],
-            )
+            none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b]), *none], _NAMES)
+        if not every and (several > FIRST).any():
+            dense = np.isin(token, token[several > FIRST])
+            yield pa.RecordBatch.from_arrays([pa.array(own[dense]), pa.nulls(int(dense.sum()), pa.int64()), pa.array(token[dense]), pa.array(place[dense]), pa.array(order[dense]), pa.array(sig[dense].view(np.int64)), pa.array(several[dense] > FIRST)], _NAMES)
 
 
 def _tokens(rows: pa.RecordBatch, words: K.Words, line: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-    _, token, bounds = line_sets(words, None)
-    size = bounds[line + 1] - bounds[line]
+    """(set, its distinct tokens) of the wanted lines, read at their place in the text."""
+    begin, _ = line_bounds(words)
+    stop = np.append(begin[1:], len(words.data))
+    order = np.argsort(line)
+    line, own = line[order], own[order]
+    size = stop[line] - begin[line]
     ends = np.cumsum(size)
-    take = np.arange(ends[-1]) + np.repeat(bounds[line] - (ends - size), size)
-    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(token[take].view(np.int64)))], ["_set", "_tokens"])
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Sets that have an earlier set at threshold or more among the pairs (a, b)."""
-    pairs = materialise(pairs.distinct(), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("_w")).union(pairs.select("b")).distinct().join(sets, F.col("_w") == F.col("_set"))
-    words = materialise(with_texts(docs, wanted.select(F.col("_first._slab").alias("_slab"), F.col("_first._line").alias("_line"), "_set"), ["_line", "_set"], _tokens, "_set bigint, _tokens array<bigint>"), "line-tokens")
-    place = wanted.select("_set", "_first").join(words.withColumnRenamed("_set", "_w"), F.col("_set") == F.col("_w")).drop("_w")
-    one, two = (place.select(*[F.col(c).alias(f"{c}{k}") for c in place.columns]) for k in (1, 2))
-    both = pairs.join(one, F.col("a") == F.col("_set1")).join(two, F.col("b") == F.col("_set2"))
+    part = words.data[np.arange(ends[-1]) + np.repeat(begin[line] - (ends - size), size)]
+    # each wanted line is a row of its own here
+    picked = K.words_of(part, np.append(0, ends))
+    token = picked.hashes()
+    owner = np.repeat(np.arange(len(line)), picked.counts)
+    by = np.lexsort((token, owner))
+    token, owner = token[by], owner[by]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+    bounds = np.searchsorted(owner[new], np.arange(len(line) + 1)).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(token[new].view(np.int64)))], ["_set", "_tokens"])
+
+
+def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Sets (a) with an earlier set (b) at threshold or more among the pairs. words: (_set, _first,
+    _tokens)."""
+    one, two = (words.select(*[F.col(c).alias(f"{c}{k}") for c in words.columns]) for k in (1, 2))
+    both = pairs.distinct().join(one, F.col("a") == F.col("_set1")).join(two, F.col("b") == F.col("_set2"))
     common = F.size(F.array_intersect("_tokens1", "_tokens2"))
     alike = common >= F.lit(threshold) * (F.size("_tokens1") + F.size("_tokens2") - common) - F.lit(_EPS)
-    order = lambda k: F.struct(F.col(f"_first{k}._none"), F.col(f"_first{k}._key"), F.col(f"_first{k}._slab"), F.col(f"_first{k}._line"))
-    return both.where(alike & (order(2) < order(1))).select("a").distinct()
+    return both.where((F.col("_first2") < F.col("_first1")) & alike).select("a").distinct()
 
 
 def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -242,20 +253,25 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # an order that never puts a later key before an earlier one; ties are settled when pairs are verified
     number = docs.schema["_key"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     order = F.coalesce(F.col("_key").cast("bigint"), F.lit((1 << 63) - 1)) if number else F.lit(0).cast("bigint")
-    posted = every.select(F.posexplode("_prefix").alias("pos", "token"), F.col("_set").alias("a"), order.alias("ord"), F.col("_meta").alias("meta"))
-    sorted_ = posted.select("token", "a", "pos", "ord", "meta").repartition("token").sortWithinPartitions("token")
-    found = materialise(sorted_.mapInArrow(lambda it: _pair_up(it, threshold, False), _OUT), "line-candidates")
-    gone = materialise(_verified(docs, found.where("b is not null").select("a", "b"), sets, threshold), "line-matches")
-    dense = found.where("b is null")
-    open_ = dense.where("open").select("a").distinct().join(gone, "a", "left_anti")
+    place_of = F.shiftleft(F.col("_n").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint"))
+    posted = every.select(F.posexplode("_prefix").alias("pos", "token"), F.col("_set").alias("a"), "_n", order.alias("ord"), F.col("_sig").alias("sig")).select("token", "a", place_of.alias("place"), "ord", "sig")
+    found = materialise(posted.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _pair_up(it, threshold, False), _OUT), "line-candidates")
+    pairs, dense = found.where("b is not null").select("a", "b"), found.where("b is null")
+    # the words of all sets that either round may ask for, in one pass over the texts
+    wanted = found.select(F.col("a").alias("_w")).union(pairs.select("b")).distinct().join(sets, F.col("_w") == F.col("_set")).drop("_w")
+    wanted = materialise(wanted, "line-wanted")
+    read = with_texts(docs, wanted.select(F.col("_first._slab").alias("_slab"), F.col("_first._line").alias("_line"), "_set"), ["_line", "_set"], _tokens, "_set bigint, _tokens array<bigint>")
+    words = materialise(wanted.join(read, "_set"), "line-words")
+    gone = materialise(_verified(pairs, words, threshold), "line-matches")
+    open_ = materialise(dense.where("open").select("a").distinct().join(gone, "a", "left_anti").withColumn("still", F.lit(True)), "line-open")
     if not open_.isEmpty():
-        open_ = materialise(open_.withColumn("still", F.lit(True)), "line-open")
         marked = dense.join(open_, "a", "left").withColumn("still", F.coalesce("still", F.lit(False)))
         groups = marked.where("still").select(F.col("token").alias("_t")).distinct()
-        again = marked.join(groups, F.col("token") == F.col("_t"), "left_semi").select("token", "a", "pos", "ord", "meta", "still").repartition("token").sortWithinPartitions("token")
+        again = marked.join(groups, F.col("token") == F.col("_t"), "left_semi").select("token", "a", "place", "ord", "sig", "still").repartition("token").sortWithinPartitions("token")
         more = again.mapInArrow(lambda it: _pair_up(it, threshold, True), _OUT).select("a", "b")
-        gone = gone.union(_verified(docs, more, sets, threshold)).distinct()
+        gone = materialise(gone.union(_verified(more, words, threshold)).distinct(), "line-matches")
     state = sets.join(gone.withColumn("_gone", F.lit(True)), F.col("_set") == F.col("a"), "left").select(F.col("_set").alias("_s"), "_first", F.coalesce("_gone", F.lit(False)).alias("_gone"))
+    state = materialise(state, "line-states")
     judged = every.select("_slab", "_line", "_set").join(state, F.col("_set") == F.col("_s"))
     return judged.where(F.col("_gone") | (F.col("_slab") != F.col("_first._slab")) | (F.col("_line") != F.col("_first._line"))).select("_slab", "_line")
 
@@ -267,7 +283,7 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for slab, rows, data, offsets in slabs(batch):
-            _, row = line_bounds(K.words_of(data, offsets))
+            _, row = _bounds(data, offsets)
             n = np.bincount(row, minlength=rows.num_rows)
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), whole(pa.concat_arrays([rows.column(1)])), whole(pa.array(n, pa.int32()))], ["_slab", "_keys", "_counts"])
