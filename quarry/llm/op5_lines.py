@@ -10,7 +10,7 @@ similarity 1. Lines without a word stay.
    collapse to their earliest line by a grouped minimum.
 3. The prefix of each set is posted under its tokens. Inside a posting, sets pass the length filter,
    the positional filter and a parity signature (a bound on the symmetric difference). A set is
-   paired with the few earliest that pass in a posting, so pairs grow with the postings.
+   paired with the earliest that passes, once a posting, so pairs grow with the postings.
 4. Pairs are verified on the words at their source coordinates. Sets that are still unmatched but had
    more candidates in some posting take a second round against all of these.
 
@@ -85,22 +85,27 @@ def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return begin[order], row[order]
 
 
-def line_sets(words: K.Words, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line of each token, token, bounds by line): distinct tokens, rarest first."""
+def line_sets(words: K.Words, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct tokens by line, rarest first; bounds by line). A token is 44 bits of its hash here:
+    enough to post and to name sets by; similarity is decided on whole hashes."""
     begin, _ = line_bounds(words)
     hashes = words.hashes()
     line = np.searchsorted(begin, words.starts, "right") - 1
-    slot = _slot(hashes)
-    key = (slot if rank is None else rank[slot]).astype(np.uint64) << np.uint64(26) | hashes & np.uint64((1 << 26) - 1)
+    low = hashes & np.uint64((1 << 26) - 1)
+    key = rank[_slot(hashes)].astype(np.uint64) << np.uint64(26) | low
     if len(begin) < 1 << 20:
-        order = np.argsort(line.astype(np.uint64) << np.uint64(44) | key, kind="stable")
+        both = np.sort(line.astype(np.uint64) << np.uint64(44) | key)
+        line, key = both >> np.uint64(44), both & np.uint64((1 << 44) - 1)
     else:
         order = np.lexsort((key, line))
-    line, token = line[order], hashes[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-    line, token = line[new], token[new]
-    return line, token, np.searchsorted(line, np.arange(len(begin) + 1))
+        line, key = line[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+    line, key = line[new], key[new]
+    slots = np.empty_like(rank)
+    slots[rank] = np.arange(len(rank))
+    token = slots[(key >> np.uint64(26)).astype(np.int64)].astype(np.uint64) << np.uint64(46) | key & np.uint64((1 << 26) - 1)
+    return token, np.searchsorted(line, np.arange(len(begin) + 1))
 
 
 def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -113,7 +118,7 @@ def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> Da
         for slab, rows, data, offsets in slabs(batch):
             words = K.words_of(data, offsets)
             _, row = line_bounds(words)
-            line, token, bounds = line_sets(words, shared.value)
+            token, bounds = line_sets(words, shared.value)
             n = np.diff(bounds)
             held = np.flatnonzero(n)
             size = n[held]
@@ -123,7 +128,7 @@ def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> Da
             prefix = size - np.ceil(threshold * size - _EPS).astype(np.int64) + 1
             ends = np.cumsum(prefix)
             take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[:-1][held] - (ends - prefix), prefix)
-            codes = (token[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            codes = (K.mix(token[take]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(codes))
             yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row[held])), pa.array(np.full(len(held), slab), pa.int64()), pa.array(held, pa.int32()), pa.array(ident.view(np.int64)), pa.array(size, pa.int32()), pa.array(parity.view(np.int64)), lists], ["_key", "_slab", "_line", "_set", "_n", "_sig", "_prefix"])
 
@@ -157,28 +162,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 _OUT = "a bigint, b bigint, token int, place bigint, ord bigint, sig bigint, open boolean"
 _NAMES = [f.split(" ")[0] for f in _OUT.split(", ")]
-FIRST = 4
 
 
 def _pair_up(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """Over postings (token, set, place, order, signature[, open]); place packs a set's size and the
-    token's position. First round: each set with the FIRST earliest that pass, and the rows of
-    postings in which some set had more. With every: the open sets with all that pass and are not
-    later."""
+    """Over postings (token, set, place, order, signature[, open]), sorted by token and place; place
+    packs a set's size and the token's position. First round: each set with the earliest that passes,
+    and the rows of postings in which some set had more. With every: the open sets with all that pass
+    and are not later."""
     for columns in _groups(batches):
         token, own, place, order = columns[:4]
         sig = columns[4].view(np.uint64)  # bits of negative numbers are counted of their absolute value
         mark = columns[5].astype(bool) if every else np.zeros(len(token), bool)
-        # one row a set and posting, the earliest; then by length inside each posting
-        first = np.lexsort((order, own, token))
-        same = np.zeros(len(first), bool)
-        same[1:] = (token[first][1:] == token[first][:-1]) & (own[first][1:] == own[first][:-1])
-        keep = first[~same]
-        keep = keep[np.lexsort((place[keep], token[keep]))]
-        token, own, place, order, sig, mark = (x[keep] for x in (token, own, place, order, sig, mark))
         n, pos = place >> 32, place & 0xFFFFFFFF
         size = len(token)
-        best, best_order = np.full((size, FIRST), -1), np.full((size, FIRST), np.iinfo(np.int64).max)
+        best, best_order = np.full(size, -1), np.full(size, np.iinfo(np.int64).max)
         several = np.zeros(size, np.int64)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         i, step = np.arange(1, size), 1
@@ -196,22 +193,20 @@ def _pair_up(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -
                     continue
                 x, y = x[back], y[back]
                 several[x] += 1
-                worst = best_order[x].argmax(1)
-                worst = np.where((best[x] < 0).any(1), (best[x] < 0).argmax(1), worst)
-                less = (best[x, worst] < 0) | (order[y] < best_order[x, worst])
-                best[x[less], worst[less]], best_order[x[less], worst[less]] = y[less], order[y[less]]
+                less = (best[x] < 0) | (order[y] < best_order[x])
+                best[x[less]], best_order[x[less]] = y[less], order[y[less]]
             step += 1
             i = i[i >= step]
         if not every:
-            x, k = np.nonzero(best >= 0)
-            out.append((x, best[x, k]))
+            x = np.flatnonzero(best >= 0)
+            out.append((x, best[x]))
         a, b = (np.concatenate([p[k] for p in out]) if out else np.empty(0, np.int64) for k in (0, 1))
         if len(a):
             none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b]), *none], _NAMES)
-        if not every and (several > FIRST).any():
-            dense = np.isin(token, token[several > FIRST])
-            yield pa.RecordBatch.from_arrays([pa.array(own[dense]), pa.nulls(int(dense.sum()), pa.int64()), pa.array(token[dense]), pa.array(place[dense]), pa.array(order[dense]), pa.array(sig[dense].view(np.int64)), pa.array(several[dense] > FIRST)], _NAMES)
+        if not every and (several > 1).any():
+            dense = np.isin(token, token[several > 1])
+            yield pa.RecordBatch.from_arrays([pa.array(own[dense]), pa.nulls(int(dense.sum()), pa.int64()), pa.array(token[dense]), pa.array(place[dense]), pa.array(order[dense]), pa.array(sig[dense].view(np.int64)), pa.array(several[dense] > 1)], _NAMES)
 
 
 def _tokens(rows: pa.RecordBatch, words: K.Words, line: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -239,7 +234,7 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     """Sets (a) with an earlier set (b) at threshold or more among the pairs. words: (_set, _first,
     _tokens)."""
     one, two = (words.select(*[F.col(c).alias(f"{c}{k}") for c in words.columns]) for k in (1, 2))
-    both = pairs.distinct().join(one, F.col("a") == F.col("_set1")).join(two, F.col("b") == F.col("_set2"))
+    both = pairs.join(one, F.col("a") == F.col("_set1")).join(two, F.col("b") == F.col("_set2"))
     common = F.size(F.array_intersect("_tokens1", "_tokens2"))
     alike = common >= F.lit(threshold) * (F.size("_tokens1") + F.size("_tokens2") - common) - F.lit(_EPS)
     return both.where((F.col("_first2") < F.col("_first1")) & alike).select("a").distinct()
@@ -254,21 +249,29 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     number = docs.schema["_key"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     order = F.coalesce(F.col("_key").cast("bigint"), F.lit((1 << 63) - 1)) if number else F.lit(0).cast("bigint")
     place_of = F.shiftleft(F.col("_n").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint"))
-    posted = every.select(F.posexplode("_prefix").alias("pos", "token"), F.col("_set").alias("a"), "_n", order.alias("ord"), F.col("_sig").alias("sig")).select("token", "a", place_of.alias("place"), "ord", "sig")
-    found = materialise(posted.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _pair_up(it, threshold, False), _OUT), "line-candidates")
+    # only the earliest line of each set is posted; its sets are one side of the join, so a hot one can be split
+    here = (F.col("_slab") == F.col("_first._slab")) & (F.col("_line") == F.col("_first._line"))
+    firsts = every.join(sets.withColumnRenamed("_set", "_s"), F.col("_set") == F.col("_s")).where(here)
+    posted = firsts.select(F.posexplode("_prefix").alias("pos", "token"), F.col("_set").alias("a"), "_n", order.alias("ord"), F.col("_sig").alias("sig")).select("token", "a", place_of.alias("place"), "ord", "sig")
+    found = materialise(posted.repartition("token").sortWithinPartitions("token", "place").mapInArrow(lambda it: _pair_up(it, threshold, False), _OUT), "line-candidates")
     pairs, dense = found.where("b is not null").select("a", "b"), found.where("b is null")
     # the words of all sets that either round may ask for, in one pass over the texts
     wanted = found.select(F.col("a").alias("_w")).union(pairs.select("b")).distinct().join(sets, F.col("_w") == F.col("_set")).drop("_w")
     wanted = materialise(wanted, "line-wanted")
     read = with_texts(docs, wanted.select(F.col("_first._slab").alias("_slab"), F.col("_first._line").alias("_line"), "_set"), ["_line", "_set"], _tokens, "_set bigint, _tokens array<bigint>")
     words = materialise(wanted.join(read, "_set"), "line-words")
-    gone = materialise(_verified(pairs, words, threshold), "line-matches")
+    # the candidate that most postings name first, then the others of what is left
+    votes = materialise(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "line-votes")
+    likely = votes.groupBy("a").agg(F.max(F.struct("n", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
+    gone = materialise(_verified(likely, words, threshold), "line-matches")
+    others = votes.select("a", "b").join(gone, "a", "left_anti").join(likely, ["a", "b"], "left_anti")
+    gone = materialise(gone.union(_verified(others, words, threshold)), "line-matches")
     open_ = materialise(dense.where("open").select("a").distinct().join(gone, "a", "left_anti").withColumn("still", F.lit(True)), "line-open")
     if not open_.isEmpty():
         marked = dense.join(open_, "a", "left").withColumn("still", F.coalesce("still", F.lit(False)))
         groups = marked.where("still").select(F.col("token").alias("_t")).distinct()
-        again = marked.join(groups, F.col("token") == F.col("_t"), "left_semi").select("token", "a", "place", "ord", "sig", "still").repartition("token").sortWithinPartitions("token")
-        more = again.mapInArrow(lambda it: _pair_up(it, threshold, True), _OUT).select("a", "b")
+        again = marked.join(groups, F.col("token") == F.col("_t"), "left_semi").select("token", "a", "place", "ord", "sig", "still").repartition("token").sortWithinPartitions("token", "place")
+        more = again.mapInArrow(lambda it: _pair_up(it, threshold, True), _OUT).select("a", "b").distinct()
         gone = materialise(gone.union(_verified(more, words, threshold)).distinct(), "line-matches")
     state = sets.join(gone.withColumn("_gone", F.lit(True)), F.col("_set") == F.col("a"), "left").select(F.col("_set").alias("_s"), "_first", F.coalesce("_gone", F.lit(False)).alias("_gone"))
     state = materialise(state, "line-states")
