@@ -161,14 +161,14 @@ def brotli_context(mode: str, p1: Column, p2: Column) -> Column:
         level = lambda p: F.when(p == 0, 0).when(p < 16, 1).when(p < 64, 2).when(p < 128, 3).when(p < 192, 4).when(p < 240, 5).when(p < 255, 6).otherwise(7)
         return level(p1) * 8 + level(p2)
     if mode == "utf8":
-        text = "\t\n\r"
-        is_ = lambda p, chars: p.isin([ord(c) for c in chars])
-        letter = lambda p, a: p.between(ord(a), ord(a) + 25)
-        vowel = lambda p, up: is_(p, "AEIOU" if up else "aeiou")
-        first = (
-            F.when(is_(p1, text), 4).when(p1 < 32, 0).when(p1 == 32, 8).when(is_(p1, "\"'"), 16 if False else 16).when(is_(p1, "%"), 20).when(is_(p1, "()"), F.when(p1 == 40, 12).otherwise(24))
+        among = lambda chars: p1.isin([ord(c) for c in chars])
+        near = (
+            F.when(among("\t\n\r"), 4).when((p1 < 32) | (p1 == 127), 0).when(p1 == 32, 8).when(among("\"'"), 16).when(among("%"), 20).when(among("([{<"), 24).when(among(")]}>"), 28)
+            .when(among(",:;"), 32).when(among("."), 36).when(among("="), 40).when(among("0123456789"), 44).when(among("AEIOU"), 48).when(p1.between(65, 90), 52)
+            .when(among("aeiou"), 56).when(p1.between(97, 122), 60).when(p1 < 128, 12).when(p1 < 192, p1 % 2).otherwise(2 + p1 % 2)
         )
-        raise NotImplementedError("utf8 contexts are in quarry.codecs.brotli_context") if first is None else NotImplementedError("use quarry.codecs.tables.utf8_context")
+        far = F.when((p2 < 32) | (p2 == 127), 0).when(p2.between(97, 122), 3).when(p2.between(48, 57) | p2.between(65, 90), 2).when(p2 < 128, 1).when(p2 < 192, 0).otherwise(2)
+        return near.bitwiseOR(far)
     raise ValueError(mode)
 
 
