@@ -100,10 +100,21 @@ def _opened(min_words: int, seed: int):
     return kernel
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    _, off, data = column.buffers()
-    start = np.frombuffer(off, np.int32)[column.offset] if len(column) else 0
-    return np.frombuffer(data, ">u4", len(column) * width, int(start)).reshape(-1, width) if len(column) else np.empty((0, width), ">u4")
+def _contexts(keys: pa.Array, min_words: int, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, left words, right words) of sort keys."""
+    width = 1 + 4 * (left + min_words)
+    _, off, data = keys.buffers()
+    start = int(np.frombuffer(off, np.int32)[keys.offset])
+    rows = np.frombuffer(data, np.uint8, len(keys) * width, start).reshape(-1, width)
+    kind, words = rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(">u4")
+    back, right = np.empty((len(rows), left), ">u4"), np.empty((len(rows), min_words), ">u4")
+    for i, n in enumerate(LEFTS):
+        own = kind == i
+        if not own.any():
+            continue
+        right[own] = words[own, n : n + min_words]
+        back[own] = np.concatenate((words[own, :n], words[own, n + min_words :]), 1)
+    return kind, back, right
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -115,17 +126,16 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _neighbours(batches: Iterator[pa.RecordBatch], min_words: int, left: int, edges: bool) -> Iterator[pa.RecordBatch]:
     """Extended matches of each sorted suffix with the one before it, for both; with edges, the
     first and the last row of the partition besides, for the round over partition edges."""
-    names = ["_c", "_l", "_r", "_key", "_right", "_left"]
+    names = ["_c", "_l", "_r", "_key"]
     last = None
 
     def found(c: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> pa.RecordBatch:
         # a match may lie in the context as any of its windows: right words count from the suffix on
-        none = pa.nulls(len(c), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c), pa.array(lefts, pa.int32()), pa.array(rights, pa.int32()), none, none, none], names)
+        return pa.RecordBatch.from_arrays([pa.array(c), pa.array(lefts, pa.int32()), pa.array(rights, pa.int32()), pa.nulls(len(c), pa.binary())], names)
 
     def edge(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
         row = batch.slice(i, 1)
-        return pa.RecordBatch.from_arrays([row.column(0), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), row.column(1), row.column(2), row.column(3)], names)
+        return pa.RecordBatch.from_arrays([row.column(0), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), row.column(1)], names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -134,9 +144,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch], min_words: int, left: int, ed
             yield edge(batch, 0)
         both = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
         c = both.column(0).to_numpy()
-        right, back = _matrix(both.column(2), min_words), _matrix(both.column(3), left)
+        kind, back, right = _contexts(both.column(1), min_words, left)
         r, b = _common(right[1:], right[:-1]), _common(back[1:], back[:-1])
-        good = (r + b >= min_words) & (c[1:] != c[:-1])
+        good = (r + b >= min_words) & (c[1:] != c[:-1]) & (kind[1:] == kind[:-1])
         if good.any():
             yield found(np.concatenate((c[1:][good], c[:-1][good])), np.tile(b[good], 2), np.tile(r[good], 2))
         tail = batch.slice(batch.num_rows - 1, 1)
@@ -157,12 +167,13 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> Da
     kinds = materialise(kinds, "suffix-kinds")
     opened = with_texts(docs, kinds.where("_differ"), ["_at", "_c"], _opened(min_words, seed), "_c bigint, _right binary, _left binary")
     # 0 bytes mark the text's start: such a row has no left context of that length and stays out of the class
-    classes = [F.when(F.lit(n == 0) | (F.substring("_left", 4 * n - 3, 4) != F.lit(b"\0\0\0\0")), F.concat(F.lit(bytes([i])), F.substring("_left", 1, 4 * n), F.col("_right"))) for i, n in enumerate(LEFTS) if n <= left]
-    keyed = opened.select("_c", F.explode(F.array_compact(F.array(*classes))).alias("_key"), "_right", "_left")
+    classes = [F.when(F.lit(n == 0) | (F.substring("_left", 4 * n - 3, 4) != F.lit(b"\0\0\0\0")), F.concat(F.lit(bytes([i])), F.substring("_left", 1, 4 * n), F.col("_right"), F.substring("_left", 4 * n + 1, 4 * left))) for i, n in enumerate(LEFTS) if n == 0 or n <= left]
+    # a key holds the whole context, so that no two are equal and range partitions can split any group
+    keyed = opened.select("_c", F.explode(F.array_compact(F.array(*classes))).alias("_key"))
     order = keyed.repartitionByRange("_key").sortWithinPartitions("_key")
-    schema = "_c bigint, _l int, _r int, _key binary, _right binary, _left binary"
+    schema = "_c bigint, _l int, _r int, _key binary"
     inside = materialise(order.mapInArrow(lambda it: _neighbours(it, min_words, left, True), schema), "suffix-neighbours")
-    rim = inside.where("_key is not null").select("_c", "_key", "_right", "_left").repartition(1).sortWithinPartitions("_key")
+    rim = inside.where("_key is not null").select("_c", "_key").repartition(1).sortWithinPartitions("_key")
     across = rim.mapInArrow(lambda it: _neighbours(it, min_words, left, False), schema)
     pairs = inside.where("_key is null").select("_c", "_l", "_r").union(across.select("_c", "_l", "_r")).distinct()
     whole = kinds.where("_n > 1").select("_c", F.lit(left).alias("_l"), F.lit(min_words).alias("_r"))
