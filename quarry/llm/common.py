@@ -29,12 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_made: dict[str, list[str]] = {}
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cuts the lineage: writes a slim intermediate as Parquet to the shared folder and reads it
     back, so that a lost executor costs no recomputation and no second scan of the texts. The shuffle
-    files behind it go at once, as nothing reads them again."""
+    files behind it go at once, as nothing reads them again. keep: release() leaves it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -44,6 +49,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediates made so far, on whatever file system they are. Only for when every
+    result that reads them has been written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def with_row(df: DataFrame, row: str = "_row") -> DataFrame:
     """A number for each row. Only stable once materialised; doc_id may repeat or be null."""
     return df.withColumn(row, F.monotonically_increasing_id())

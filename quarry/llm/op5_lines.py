@@ -109,8 +109,8 @@ def line_sets(words: K.Words, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """(_key, _slab, _line, _set, _n, _sig, _prefix array<int>) of the lines with words: tokens and a
-    64-bit parity signature."""
+    """(_key, _slab, _line, _set, _n, _sig, _more, _prefix array<int>) of the lines with words: number of
+    tokens and a parity signature of 128 bits."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # 2 MB, a fixed size
     kind = docs.schema["_key"].dataType.simpleString()
 
@@ -124,23 +124,24 @@ def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> Da
             size = n[held]
             # the identity does not depend on the order, which differs between inputs
             ident = K.mix(np.add.reduceat(K.mix(token), bounds[:-1][held]) + size.astype(np.uint64)) if len(held) else np.empty(0, np.uint64)
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), bounds[:-1][held]) if len(held) else np.empty(0, np.uint64)
+            half = [np.where((token >> np.uint64(6)) & np.uint64(1) == k, np.uint64(1) << (token & np.uint64(63)), np.uint64(0)) for k in (0, 1)]
+            parity = [np.bitwise_xor.reduceat(h, bounds[:-1][held]) if len(held) else h for h in half]
             prefix = size - np.ceil(threshold * size - _EPS).astype(np.int64) + 1
             ends = np.cumsum(prefix)
             take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[:-1][held] - (ends - prefix), prefix)
             codes = (K.mix(token[take]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(codes))
-            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row[held])), pa.array(np.full(len(held), slab), pa.int64()), pa.array(held, pa.int32()), pa.array(ident.view(np.int64)), pa.array(size, pa.int32()), pa.array(parity.view(np.int64)), lists], ["_key", "_slab", "_line", "_set", "_n", "_sig", "_prefix"])
+            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row[held])), pa.array(np.full(len(held), slab), pa.int64()), pa.array(held, pa.int32()), pa.array(ident.view(np.int64)), pa.array(size, pa.int32()), pa.array(parity[0].view(np.int64)), pa.array(parity[1].view(np.int64)), lists], ["_key", "_slab", "_line", "_set", "_n", "_sig", "_more", "_prefix"])
 
-    return map_arrow(docs, kernel, f"_key {kind}, _slab bigint, _line int, _set bigint, _n int, _sig bigint, _prefix array<int>")
+    return map_arrow(docs, kernel, f"_key {kind}, _slab bigint, _line int, _set bigint, _n int, _sig bigint, _more bigint, _prefix array<int>")
 
 
-def _passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, threshold: float) -> np.ndarray:
+def _passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: list[np.ndarray], threshold: float) -> np.ndarray:
     """Positional filter and signature bound of pairs; lengths are compatible already."""
     both = n[i] + n[j]
     need = np.ceil(threshold / (1 + threshold) * both - _EPS).astype(np.int64)
     ahead = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-    return (ahead >= need) & (np.bitwise_count(sig[i] ^ sig[j]) <= both - 2 * need)
+    return (ahead >= need) & (sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sig) <= both - 2 * need)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -160,23 +161,23 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-_OUT = "a bigint, b bigint, token int, place bigint, ord bigint, sig bigint, open boolean"
+_OUT = "a bigint, b bigint, token int, place bigint, ord bigint, sig bigint, more bigint, open boolean"
 _NAMES = [f.split(" ")[0] for f in _OUT.split(", ")]
 
 
 def _pair_up(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -> Iterator[pa.RecordBatch]:
     """Over postings (token, set, place, order, signature[, open]), sorted by token and place; place
     packs a set's size and the token's position. First round: each set with the earliest that passes,
-    and the rows of postings in which some set had more. With every: the open sets with all that pass
+    and, of postings in which some set had more, the rows that passed with any. With every: the open sets with all that pass
     and are not later."""
     for columns in _groups(batches):
         token, own, place, order = columns[:4]
-        sig = columns[4].view(np.uint64)  # bits of negative numbers are counted of their absolute value
-        mark = columns[5].astype(bool) if every else np.zeros(len(token), bool)
+        sig = [c.view(np.uint64) for c in columns[4:6]]  # bits of negative numbers are counted of their absolute value
+        mark = columns[6].astype(bool) if every else np.zeros(len(token), bool)
         n, pos = place >> 32, place & 0xFFFFFFFF
         size = len(token)
         best, best_order = np.full(size, -1), np.full(size, np.iinfo(np.int64).max)
-        several = np.zeros(size, np.int64)
+        several, involved = np.zeros(size, np.int64), np.zeros(size, bool)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         i, step = np.arange(1, size), 1
         while len(i):
@@ -185,6 +186,7 @@ def _pair_up(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -
             i, j = i[ok], j[ok]
             hit = mark[i] | mark[j] if every else np.ones(len(i), bool)
             hit[hit] = _passing(i[hit], j[hit], n, pos, sig, threshold)
+            involved[i[hit]] = involved[j[hit]] = True
             for x, y in ((i[hit], j[hit]), (j[hit], i[hit])):
                 back = order[y] <= order[x]
                 if every:
@@ -202,11 +204,11 @@ def _pair_up(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -
             out.append((x, best[x]))
         a, b = (np.concatenate([p[k] for p in out]) if out else np.empty(0, np.int64) for k in (0, 1))
         if len(a):
-            none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
+            none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b]), *none], _NAMES)
         if not every and (several > 1).any():
-            dense = np.isin(token, token[several > 1])
-            yield pa.RecordBatch.from_arrays([pa.array(own[dense]), pa.nulls(int(dense.sum()), pa.int64()), pa.array(token[dense]), pa.array(place[dense]), pa.array(order[dense]), pa.array(sig[dense].view(np.int64)), pa.array(several[dense] > 1)], _NAMES)
+            dense = involved & np.isin(token, token[several > 1])
+            yield pa.RecordBatch.from_arrays([pa.array(own[dense]), pa.nulls(int(dense.sum()), pa.int64()), pa.array(token[dense]), pa.array(place[dense]), pa.array(order[dense]), *(pa.array(s[dense].view(np.int64)) for s in sig), pa.array(several[dense] > 1)], _NAMES)
 
 
 def _tokens(rows: pa.RecordBatch, words: K.Words, line: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -252,7 +254,7 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # only the earliest line of each set is posted; its sets are one side of the join, so a hot one can be split
     here = (F.col("_slab") == F.col("_first._slab")) & (F.col("_line") == F.col("_first._line"))
     firsts = every.join(sets.withColumnRenamed("_set", "_s"), F.col("_set") == F.col("_s")).where(here)
-    posted = firsts.select(F.posexplode("_prefix").alias("pos", "token"), F.col("_set").alias("a"), "_n", order.alias("ord"), F.col("_sig").alias("sig")).select("token", "a", place_of.alias("place"), "ord", "sig")
+    posted = firsts.select(F.posexplode("_prefix").alias("pos", "token"), F.col("_set").alias("a"), "_n", order.alias("ord"), F.col("_sig").alias("sig"), F.col("_more").alias("more")).select("token", "a", place_of.alias("place"), "ord", "sig", "more")
     found = materialise(posted.repartition("token").sortWithinPartitions("token", "place").mapInArrow(lambda it: _pair_up(it, threshold, False), _OUT), "line-candidates")
     pairs, dense = found.where("b is not null").select("a", "b"), found.where("b is null")
     # the words of all sets that either round may ask for, in one pass over the texts
@@ -270,7 +272,7 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not open_.isEmpty():
         marked = dense.join(open_, "a", "left").withColumn("still", F.coalesce("still", F.lit(False)))
         groups = marked.where("still").select(F.col("token").alias("_t")).distinct()
-        again = marked.join(groups, F.col("token") == F.col("_t"), "left_semi").select("token", "a", "place", "ord", "sig", "still").repartition("token").sortWithinPartitions("token", "place")
+        again = marked.join(groups, F.col("token") == F.col("_t"), "left_semi").select("token", "a", "place", "ord", "sig", "more", "still").repartition("token").sortWithinPartitions("token", "place")
         more = again.mapInArrow(lambda it: _pair_up(it, threshold, True), _OUT).select("a", "b").distinct()
         gone = materialise(gone.union(_verified(more, words, threshold)).distinct(), "line-matches")
     state = sets.join(gone.withColumn("_gone", F.lit(True)), F.col("_set") == F.col("a"), "left").select(F.col("_set").alias("_s"), "_first", F.coalesce("_gone", F.lit(False)).alias("_gone"))
