@@ -26,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Removes the shuffle files of a query when it ends (off by default in Spark).
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"  # texts are long: smaller batches than the default
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -40,12 +41,15 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     if not keep:
         _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true", _BATCH: "2000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 

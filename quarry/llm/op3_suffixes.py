@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import map_arrow, materialise, table
+from quarry.llm.common import materialise, table
 from quarry.llm.slabs import numbered, per_slab, slabs, with_texts
 
 MIN_WORDS, SEED, LEFTS = 50, 8, (0, 11, 22)
@@ -186,13 +186,13 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: i
     base = numbered(docs, text, key)
     kind = base.schema["_key"].dataType.simpleString()
 
-    def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for slab, rows, data, offsets in slabs(batch):
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, rows, data, offsets in slabs(batches):
             first = K.words_of(data, offsets).first
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), whole(pa.concat_arrays([rows.column(1)])), whole(pa.array(first, pa.int32()))], ["_slab", "_keys", "_first"])
 
-    held = map_arrow(base, rows_of, f"_slab bigint, _keys array<{kind}>, _first array<int>")
+    held = base.mapInArrow(rows_of, f"_slab bigint, _keys array<{kind}>, _first array<int>")
     lists = matches(base, min_words, seed).distinct().groupBy("_slab").agg(F.collect_list(F.struct("_at", "_l", "_r")).alias("_s"))
     joined = held.join(lists, "_slab", "left").select("_keys", "_first", F.col("_s._at").alias("_at"), F.col("_s._l").alias("_l"), F.col("_s._r").alias("_r"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import map_arrow, materialise, table
+from quarry.llm.common import materialise, table
 from quarry.llm.slabs import numbered, slabs, with_texts
 
 THRESHOLD, SLOT_BITS, PIECES = 0.8, 18, 64
@@ -50,9 +50,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in slabs(batch):
-                total += np.bincount(_slot(K.words_of(data, offsets).hashes()), minlength=1 << SLOT_BITS)
+        for _, _, data, offsets in slabs(batches):
+            total += np.bincount(_slot(K.words_of(data, offsets).hashes()), minlength=1 << SLOT_BITS)
         yield from rows(dict(enumerate(total.reshape(PIECES, size))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +113,8 @@ def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # 2 MB, a fixed size
     kind = docs.schema["_key"].dataType.simpleString()
 
-    def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for slab, rows, data, offsets in slabs(batch):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, rows, data, offsets in slabs(batches):
             words = K.words_of(data, offsets)
             _, row = line_bounds(words)
             token, bounds = line_sets(words, shared.value)
@@ -133,7 +132,7 @@ def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> Da
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(codes))
             yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row[held])), pa.array(np.full(len(held), slab), pa.int64()), pa.array(held, pa.int32()), pa.array(ident.view(np.int64)), pa.array(size, pa.int32()), pa.array(parity[0].view(np.int64)), pa.array(parity[1].view(np.int64)), lists], ["_key", "_slab", "_line", "_set", "_n", "_sig", "_more", "_prefix"])
 
-    return map_arrow(docs, kernel, f"_key {kind}, _slab bigint, _line int, _set bigint, _n int, _sig bigint, _more bigint, _prefix array<int>")
+    return docs.mapInArrow(kernel, f"_key {kind}, _slab bigint, _line int, _set bigint, _n int, _sig bigint, _more bigint, _prefix array<int>")
 
 
 def _passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -286,14 +285,14 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     base = numbered(docs, text, key)
     kind = base.schema["_key"].dataType.simpleString()
 
-    def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for slab, rows, data, offsets in slabs(batch):
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, rows, data, offsets in slabs(batches):
             _, row = _bounds(data, offsets)
             n = np.bincount(row, minlength=rows.num_rows)
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), whole(pa.concat_arrays([rows.column(1)])), whole(pa.array(n, pa.int32()))], ["_slab", "_keys", "_counts"])
 
-    held = map_arrow(base, rows_of, f"_slab bigint, _keys array<{kind}>, _counts array<int>")
+    held = base.mapInArrow(rows_of, f"_slab bigint, _keys array<{kind}>, _counts array<int>")
     gone = removed(base, threshold).groupBy("_slab").agg(F.collect_list("_line").alias("_lines"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import map_arrow, materialise
+from quarry.llm.common import materialise
 
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 19
 
 
 def numbered(docs: DataFrame, text: str, key: str, keep: list[str] | None = None) -> DataFrame:
@@ -35,28 +35,41 @@ def numbered(docs: DataFrame, text: str, key: str, keep: list[str] | None = None
     return slim.select("_text", "_key", F.monotonically_increasing_id().alias("_row"), *slim.columns[2:])
 
 
-def slabs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(slab, rows, bytes, offsets)."""
-    for rows, data, offsets in K.slices(batch, "_text", SLAB_BYTES):
-        yield rows.column(2)[0].as_py(), rows, data, offsets
+def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(slab, rows, bytes, offsets) over the batches of a partition. Where batches end does not matter:
+    a slab is complete when the next row no longer fits."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(held.columns, batch.columns, strict=True)], schema=batch.schema)
+        pieces = list(K.slices(batch, "_text", SLAB_BYTES))
+        for rows, data, offsets in pieces[:-1]:
+            yield rows.column(2)[0].as_py(), rows, data, offsets
+        rest = pieces[-1][0]
+        held = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in rest.columns], schema=batch.schema)
+    if held is not None:
+        for rows, data, offsets in K.slices(held, "_text", SLAB_BYTES):
+            yield rows.column(2)[0].as_py(), rows, data, offsets
 
 
 def per_slab(docs: DataFrame, kernel: Callable[[int, K.Words], list[pa.Array]], schema: str) -> DataFrame:
     """kernel(slab, words) -> columns, over all slabs."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for slab, _, data, offsets in slabs(batch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, _, data, offsets in slabs(batches):
             yield pa.RecordBatch.from_arrays(kernel(slab, K.words_of(data, offsets)), names)
 
-    return map_arrow(docs, run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def packed(docs: DataFrame) -> DataFrame:
     """(_slab, _blob): the rows of each slab as a compressed Arrow stream."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for slab, rows, _, _ in slabs(batch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, rows, _, _ in slabs(batches):
             sink = pa.BufferOutputStream()
             # the slice is copied out: an IPC stream of a slice would keep its parent's buffers
             rows = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in rows.columns], rows.schema.names)
@@ -64,7 +77,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 out.write_batch(rows)
             yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_slab", "_blob"])
 
-    return map_arrow(docs, run, "_slab bigint, _blob binary")
+    return docs.mapInArrow(run, "_slab bigint, _blob binary")
 
 
 def with_texts(docs: DataFrame, found: DataFrame, columns: list[str], kernel: Callable, schema: str, how: str = "inner") -> DataFrame:
