@@ -62,6 +62,13 @@ class Crc:
         size = np.minimum(PIECE, sizes[owner] - nth * PIECE)
         data = np.frombuffer(b"".join(values), np.uint8)
         begin = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * PIECE
+        if len(owner) < 48:  # too few lanes to be worth a step of NumPy for each byte
+            table, out = self.table.tolist(), []
+            for v, now in zip(values, state.tolist(), strict=True):
+                for b in v:
+                    now = table[(now ^ b) & 255] ^ now >> 8
+                out.append(now)
+            return np.array(out, np.uint64) ^ full
         order = np.argsort(-size, kind="stable")
         begin, long = begin[order], size[order]
         lanes = np.where(nth[order] == 0, state[owner[order]], np.uint64(0))

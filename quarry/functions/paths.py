@@ -113,8 +113,8 @@ def parse_size(text: Column) -> Column:
 
 
 def format_size(size: Column) -> Column:
-    """1024-based with one decimal."""
-    unit = lambda power, name: F.format_string(f"%.1f {name}", size.cast("double") / F.lit(float(1024**power)))
+    """1024-based with one decimal, exact ties to even."""
+    unit = lambda power, name: F.format_string(f"%.1f {name}", F.bround(size.cast("double") / F.lit(float(1024**power)), 1))
     return F.when(size >= 1024**3, unit(3, "GB")).when(size >= 1024**2, unit(2, "MB")).when(size >= 1024, unit(1, "KB")).otherwise(F.concat(size.cast("string"), F.lit(" B")))
 
 

@@ -45,7 +45,7 @@ def filetime(value: Column) -> Column:
 
 
 def to_filetime(ts: Column) -> Column:
-    return F.unix_micros(ts) * 10 + F.lit(116444736000000000)
+    return F.unix_micros(ts.cast("timestamp")) * 10 + F.lit(116444736000000000)
 
 
 def octal(text: Column) -> Column:

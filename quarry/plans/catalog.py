@@ -1,4 +1,8 @@
 """Registered queries over the driver's tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quarry.plans import archives, scalars
+from quarry.plans.archives import flagship
+
+QUERIES = scalars.QUERIES | archives.QUERIES
+ORACLE_SQL = scalars.ORACLE_SQL | archives.ORACLE_SQL
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
