@@ -113,7 +113,9 @@ def _streams(b: _Bytes) -> dict:
             kind = b.byte()
         it = iter(crcs)
         out["parts"] = [[(s, f["crc"] if n == 1 and f["crc"] is not None else next(it, None)) for s in own] for f, n, own in zip(out["folders"], counts, sizes, strict=True)]
-        b.byte() if kind != 0 else None
+        while kind:
+            kind = b.byte()
+        b.byte()  # the end of the streams
     else:
         out["parts"] = [[(f["size"], f["crc"])] for f in out["folders"]]
     return out
