@@ -108,12 +108,22 @@ query("file_list", "pages", "SELECT page_id FROM pages WHERE split_part(url, '/'
     lambda df: df.select("page_id", F.concat_ws("/", F.element_at(F.split("url", "/"), 4), F.coalesce(F.try_element_at(F.split("url", "/"), F.lit(5)), F.lit(""))).alias("name")).filter(P.in_file_list(F.col("name"), ["en"]) & (F.col("name") != "en")).select("page_id")
 )
 _PATH = "CASE page_id % 4 WHEN 0 THEN '/' || url WHEN 1 THEN '../' || url || '/./x' WHEN 2 THEN url || '/..' ELSE url END"
-_path = F.expr(_PATH)
-query("path_sanitise", "pages", f"SELECT page_id, array_to_string(list_filter(string_split({_PATH}, '/'), lambda p: p NOT IN ('', '.', '..')), '/') AS safe, NOT regexp_matches({_PATH}, '^/|(^|/)\\.\\.(/|$)') AS is_safe FROM pages")(lambda df: df.select("page_id", P.sanitise_path(_path).alias("safe"), P.is_safe_path(_path).alias("is_safe")))
+
+
+def _path() -> Column:
+    return F.expr(_PATH)
+
+
+query("path_sanitise", "pages", f"SELECT page_id, array_to_string(list_filter(string_split({_PATH}, '/'), lambda p: p NOT IN ('', '.', '..')), '/') AS safe, NOT regexp_matches({_PATH}, '^/|(^|/)\\.\\.(/|$)') AS is_safe FROM pages")(lambda df: df.select("page_id", P.sanitise_path(_path()).alias("safe"), P.is_safe_path(_path()).alias("is_safe")))
 _NAME = "CASE p_partkey % 6 WHEN 0 THEN 'con.txt' WHEN 1 THEN 'COM' || (p_partkey % 12)::VARCHAR WHEN 2 THEN 'nul' WHEN 3 THEN 'LPT1.tar.gz' ELSE p_name END"
-_name = F.expr(_NAME.replace("::VARCHAR", "").replace("(p_partkey % 12)", "cast(p_partkey % 12 as string)"))
-query("reserved_names", "part", f"SELECT p_partkey, CASE WHEN regexp_matches(split_part({_NAME}, '.', 1), '(?i)^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN split_part({_NAME}, '.', 1) || '_' || substr({_NAME}, strlen(split_part({_NAME}, '.', 1)) + 1) ELSE {_NAME} END AS name FROM part")(lambda df: df.select("p_partkey", P.rewrite_reserved(_name).alias("name")))
-query("reserved_paths", "part", f"SELECT p_partkey, 'aux_/' || CASE WHEN regexp_matches(split_part({_NAME}, '.', 1), '(?i)^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN split_part({_NAME}, '.', 1) || '_' || substr({_NAME}, strlen(split_part({_NAME}, '.', 1)) + 1) ELSE {_NAME} END || '/' AS path FROM part")(lambda df: df.select("p_partkey", P.rewrite_path(F.concat(F.lit("aux/"), _name, F.lit("/"))).alias("path")))
+
+
+def _name() -> Column:
+    return F.expr(_NAME.replace("::VARCHAR", "").replace("(p_partkey % 12)", "cast(p_partkey % 12 as string)"))
+
+
+query("reserved_names", "part", f"SELECT p_partkey, CASE WHEN regexp_matches(split_part({_NAME}, '.', 1), '(?i)^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN split_part({_NAME}, '.', 1) || '_' || substr({_NAME}, strlen(split_part({_NAME}, '.', 1)) + 1) ELSE {_NAME} END AS name FROM part")(lambda df: df.select("p_partkey", P.rewrite_reserved(_name()).alias("name")))
+query("reserved_paths", "part", f"SELECT p_partkey, 'aux_/' || CASE WHEN regexp_matches(split_part({_NAME}, '.', 1), '(?i)^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN split_part({_NAME}, '.', 1) || '_' || substr({_NAME}, strlen(split_part({_NAME}, '.', 1)) + 1) ELSE {_NAME} END || '/' AS path FROM part")(lambda df: df.select("p_partkey", P.rewrite_path(F.concat(F.lit("aux/"), _name(), F.lit("/"))).alias("path")))
 query("parse_size", "part", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::BIGINT * 1000 WHEN 1 THEN p_size::BIGINT * 1000000 WHEN 2 THEN p_size::BIGINT END AS bytes FROM part")(
     lambda df: df.select("p_partkey", P.parse_size(F.concat(F.col("p_size").cast("string"), F.expr("CASE p_partkey % 4 WHEN 0 THEN 'k' WHEN 1 THEN 'M' WHEN 2 THEN '' ELSE 'x' END"))).alias("bytes"))
 )
