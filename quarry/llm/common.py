@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,26 @@ def with_row(df: DataFrame, row: str = "_row") -> DataFrame:
     return df.withColumn(row, F.monotonically_increasing_id())
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: nothing to give back by hand
+
+    def _trim(_: int) -> int:
+        return 0
+
+
+def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """kernel, and at the end of a partition the worker's free memory goes back to the system:
+    workers live on, and what one stage has used would add to the next one's need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        _trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """kernel over every Arrow batch. Nothing but what the kernel yields leaves a batch."""
 
@@ -75,7 +96,7 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Reco
             if batch.num_rows:
                 yield from kernel(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def key_order(*columns: str) -> list[Column]:

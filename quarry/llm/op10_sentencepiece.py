@@ -33,7 +33,7 @@ from quarry.llm import kernels as K
 from quarry.llm.common import map_arrow, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE, WIDE = 2 << 20, 48
+SLICE, WIDE = 1 << 19, 48
 SPACE_MARK = 0x2581
 _LOW = np.float32(-np.inf)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import materialise, table
+from quarry.llm.common import materialise, table, trimmed
 from quarry.llm.slabs import numbered, slabs, with_texts
 
 THRESHOLD, SLOT_BITS, PIECES = 0.8, 18, 64
@@ -62,7 +62,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         yield from rows(sums)
 
     schema = "piece int, counts binary"
-    parts = docs.mapInArrow(count, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()  # 64 rows of 32 KB
+    parts = docs.mapInArrow(trimmed(count), schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()  # 64 rows of 32 KB
     total = np.zeros((PIECES, size), np.int64)
     for r in parts:
         total[r["piece"]] = np.frombuffer(r["counts"], np.int64)
@@ -132,7 +132,7 @@ def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> Da
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(codes))
             yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row[held])), pa.array(np.full(len(held), slab), pa.int64()), pa.array(held, pa.int32()), pa.array(ident.view(np.int64)), pa.array(size, pa.int32()), pa.array(parity[0].view(np.int64)), pa.array(parity[1].view(np.int64)), lists], ["_key", "_slab", "_line", "_set", "_n", "_sig", "_more", "_prefix"])
 
-    return docs.mapInArrow(kernel, f"_key {kind}, _slab bigint, _line int, _set bigint, _n int, _sig bigint, _more bigint, _prefix array<int>")
+    return docs.mapInArrow(trimmed(kernel), f"_key {kind}, _slab bigint, _line int, _set bigint, _n int, _sig bigint, _more bigint, _prefix array<int>")
 
 
 def _passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -254,7 +254,7 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     here = (F.col("_slab") == F.col("_first._slab")) & (F.col("_line") == F.col("_first._line"))
     firsts = every.join(sets.withColumnRenamed("_set", "_s"), F.col("_set") == F.col("_s")).where(here)
     posted = firsts.select(F.posexplode("_prefix").alias("pos", "token"), F.col("_set").alias("a"), "_n", order.alias("ord"), F.col("_sig").alias("sig"), F.col("_more").alias("more")).select("token", "a", place_of.alias("place"), "ord", "sig", "more")
-    found = materialise(posted.repartition("token").sortWithinPartitions("token", "place").mapInArrow(lambda it: _pair_up(it, threshold, False), _OUT), "line-candidates")
+    found = materialise(posted.repartition("token").sortWithinPartitions("token", "place").mapInArrow(trimmed(lambda it: _pair_up(it, threshold, False)), _OUT), "line-candidates")
     pairs, dense = found.where("b is not null").select("a", "b"), found.where("b is null")
     # the words of all sets that either round may ask for, in one pass over the texts
     wanted = found.select(F.col("a").alias("_w")).union(pairs.select("b")).distinct().join(sets, F.col("_w") == F.col("_set")).drop("_w")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import materialise
+from quarry.llm.common import materialise, trimmed
 
 SLAB_BYTES = 1 << 19
 
@@ -62,7 +62,7 @@ def per_slab(docs: DataFrame, kernel: Callable[[int, K.Words], list[pa.Array]],
         for slab, _, data, offsets in slabs(batches):
             yield pa.RecordBatch.from_arrays(kernel(slab, K.words_of(data, offsets)), names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 out.write_batch(rows)
             yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_slab", "_blob"])
 
-    return docs.mapInArrow(run, "_slab bigint, _blob binary")
+    return docs.mapInArrow(trimmed(run), "_slab bigint, _blob binary")
 
 
 def with_texts(docs: DataFrame, found: DataFrame, columns: list[str], kernel: Callable, schema: str, how: str = "inner") -> DataFrame:
@@ -96,4 +96,4 @@ def with_texts(docs: DataFrame, found: DataFrame, columns: list[str], kernel: Ca
                 own = [np.empty(0, np.int64) if x is None else x.to_numpy(zero_copy_only=False) for x in own]
                 yield from kernel(rows, K.words_of(data, offsets), *own)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
