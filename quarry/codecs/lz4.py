@@ -46,6 +46,62 @@ def compress_block(data: bytes, dictionary: bytes = b"", step: int = 1) -> bytes
     return bytes(out)
 
 
+def compress_block_hc(data: bytes, level: int = 9, dictionary: bytes = b"") -> bytes:
+    """Longest matches over chains whose depth doubles with each level (1 to 12), put off by one
+    position where the next one has a longer match."""
+    base = dictionary[-65536:]
+    whole, depth = base + data, 1 << max(1, min(12, level)) - 1
+    chains: dict[bytes, list[int]] = {}
+    end, at, lit, out = len(whole), len(base), len(base), bytearray()
+    most = end - 5
+    filled = 0
+
+    def fill(upto: int) -> None:
+        nonlocal filled
+        while filled < min(upto, end - 3):
+            chains.setdefault(whole[filled : filled + 4], []).append(filled)
+            filled += 1
+
+    def find(i: int) -> tuple[int, int]:
+        fill(i)
+        best = where = 0
+        for j in reversed(chains.get(whole[i : i + 4], [])[-depth:]):
+            if i - j > WINDOW:
+                break
+            n = 4
+            while i + n < most and whole[j + n] == whole[i + n]:
+                n += 1
+            if n > best and i + n <= most:
+                best, where = n, j
+        return best, where
+
+    while at < end - 12:
+        n, where = find(at)
+        if n < 4:
+            at += 1
+            continue
+        if at + 1 < end - 12 and find(at + 1)[0] > n + 1:
+            at += 1
+            continue
+        _sequence(out, whole[lit:at], n, at - where)
+        at += n
+        lit = at
+    _sequence(out, whole[lit:end], None, 0)
+    return bytes(out)
+
+
+def _sequence(out: bytearray, literals: bytes, match: int | None, distance: int) -> None:
+    n, m = len(literals), 0 if match is None else match - 4
+    out.append(min(n, 15) << 4 | min(m, 15))
+    for value in (n, None, m if match is not None else 0):
+        if value is None:
+            out += literals
+            if match is not None:
+                out += distance.to_bytes(2, "little")
+        elif value >= 15:
+            out += b"\xff" * ((value - 15) // 255) + bytes([(value - 15) % 255])
+
+
 def decompress_block(data: bytes, limit: int, dictionary: bytes = b"") -> bytes:
     out = bytearray(dictionary[-65536:])
     base, at = len(out), 0

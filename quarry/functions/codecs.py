@@ -86,6 +86,34 @@ def unlz4_with_dictionary(col: Column, dictionary: bytes) -> Column:
     return _binary(col, lambda b: lz4.decompress_frame(b, dictionary))
 
 
+def lz4_block(col: Column, level: int | None = None, dictionary: bytes = b"", step: int = 1) -> Column:
+    """A raw block behind its size (8 bytes): fast with a step, or high compression with a level."""
+    pack = (lambda b: lz4.compress_block(b, dictionary, step)) if level is None else (lambda b: lz4.compress_block_hc(b, level, dictionary))
+    return _binary(col, lambda b: len(b).to_bytes(8, "little") + pack(b))
+
+
+def lz4_unblock(col: Column, dictionary: bytes = b"") -> Column:
+    return _binary(col, lambda b: lz4.decompress_block(b[8:], int.from_bytes(b[:8], "little"), dictionary))
+
+
+def zstd_dictionary_id(col: Column) -> Column:
+    """Id of a raw dictionary: the low 32 bits of its XXH64."""
+    return xxh64_low(col)
+
+
+def brotli_transform(word: Column, prefix: str = "", kind: str = "identity", n: int = 0, suffix: str = "") -> Column:
+    """A dictionary word with prefix and suffix; kind: identity, first_upper, all_upper, omit_first or
+    omit_last (n bytes)."""
+    inner = {"identity": lambda: word, "first_upper": lambda: F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20)), "all_upper": lambda: F.upper(word), "omit_first": lambda: F.substring(word, n + 1, 1 << 20), "omit_last": lambda: F.substring(word, F.lit(1), F.greatest(F.length(word) - n, F.lit(0)))}[kind]()
+    return F.concat(F.lit(prefix), inner, F.lit(suffix))
+
+
+def xz_check_name(col: Column) -> Column:
+    """Which check an XZ stream carries."""
+    code = F.conv(F.hex(F.substring(col, 8, 1)), 16, 10).cast("int").bitwiseAND(F.lit(15))
+    return F.when(code == 0, "none").when(code == 1, "crc32").when(code == 4, "crc64").when(code == 10, "sha256").otherwise("unknown")
+
+
 def snappy_with_dictionary(col: Column, dictionary: bytes) -> Column:
     return _binary(col, lambda b: snappy.frame_with_dictionary(b, dictionary))
 
@@ -106,13 +134,13 @@ def unlzw(col: Column, config: object = None) -> Column:
     return _binary(col, lambda b: f(b, config or TIFF))
 
 
-def lzh_pack(col: Column, method: str = "lh5") -> Column:
+def lzh_pack(col: Column, method: str = "lh5", dictionary: bytes = b"") -> Column:
     """Size in front (8 bytes), so that it can be unpacked on its own."""
-    return _binary(col, lambda b: len(b).to_bytes(8, "little") + lzh.encode(b, method))
+    return _binary(col, lambda b: len(b).to_bytes(8, "little") + lzh.encode(b, method, dictionary))
 
 
-def lzh_unpack(col: Column, method: str = "lh5") -> Column:
-    return _binary(col, lambda b: lzh.decode(b[8:], method, int.from_bytes(b[:8], "little")))
+def lzh_unpack(col: Column, method: str = "lh5", dictionary: bytes = b"") -> Column:
+    return _binary(col, lambda b: lzh.decode(b[8:], method, int.from_bytes(b[:8], "little"), dictionary))
 
 
 def bwt(col: Column) -> Column:

@@ -61,6 +61,21 @@ def canonical_codes(lengths: DataFrame, *by: str, symbol: str = "byte") -> DataF
     return lengths.filter("bits > 0").withColumn("code", (before * F.pow(F.lit(2.0), F.col("bits"))).cast("bigint"))
 
 
+def table_shares(counts: DataFrame, *by: str, symbol: str = "byte", n: str = "n", accuracy: int = 9) -> DataFrame:
+    """(by..., symbol, share): counts scaled to a table of 2**accuracy cells, at least one for each."""
+    lists = counts.groupBy(*by).agg(F.collect_list(F.struct(symbol, n)).alias("_l"))
+
+    @F.arrow_udf("array<struct<symbol:bigint,share:int>>")
+    def fit(values: pa.Array) -> pa.Array:
+        out = []
+        for row in values.to_pylist():
+            row = sorted(row, key=lambda r: r[symbol])
+            out.append([{"symbol": r[symbol], "share": s} for r, s in zip(row, huffman.normalise([r[n] for r in row], 1 << accuracy), strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("symbol", pa.int64()), ("share", pa.int32())])))
+
+    return lists.select(*by, F.explode(fit(F.col("_l"))).alias("_c")).select(*by, F.col("_c.symbol").alias(symbol), F.col("_c.share").alias("share"))
+
+
 def coded_size(counts: DataFrame, lengths: DataFrame, *by: str, symbol: str = "byte") -> DataFrame:
     """(by..., coded_bits): what the histogram takes in the code."""
     return counts.join(lengths, [*by, symbol]).groupBy(*by).agg(F.sum(F.col("n") * F.col("bits")).cast("bigint").alias("coded_bits"))
@@ -134,6 +149,16 @@ def compress_chunked(df: DataFrame, content: str, codec: str = "gzip", key: str
             return pa.array(out, pa.binary())
 
         packed = parts.withColumn(content, piece(F.col(content), F.col("chunk") == last))
+    elif codec == "lzma2":
+        last = F.max("chunk").over(Window.partitionBy(key))
+
+        @F.arrow_udf("binary")
+        def chunks(v: pa.Array, end: pa.Array) -> pa.Array:
+            # each chunk resets the dictionary; only the last keeps the end mark
+            out = [registry.lzma2_compress(b, 6 if level is None else level)[: None if e else -1] for b, e in zip(v.to_pylist(), end.to_pylist(), strict=True)]
+            return pa.array(out, pa.binary())
+
+        packed = parts.withColumn(content, chunks(F.col(content), F.col("chunk") == last))
     elif codec in ("gzip", "bzip2", "xz", "zstd", "lz4", "snappy"):
         packed = parts.withColumn(content, compress(F.col(content), codec, level))
     else:
@@ -175,4 +200,4 @@ def running_crc32(parts: DataFrame, key: str, seq: str, content: str) -> DataFra
     return parts.select(key, seq, F.col(content).cast("binary").alias(content)).groupBy(key).applyInArrow(run, f"`{key}` {kind}, crc32 bigint")
 
 
-__all__ = ["canonical_codes", "chunked", "code_lengths", "coded_size", "compress_chunked", "fixed_length", "frame_table", "histogram", "ngrams", "registry", "running_crc32", "train_dictionary", "unframe_table"]
+__all__ = ["canonical_codes", "chunked", "code_lengths", "coded_size", "compress_chunked", "fixed_length", "frame_table", "histogram", "ngrams", "registry", "running_crc32", "table_shares", "train_dictionary", "unframe_table"]

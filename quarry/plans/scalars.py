@@ -65,6 +65,9 @@ _round_trip("lzw_tiff_no_clear", lambda c: C.lzw(c, TIFF_NO_CLEAR), lambda c: C.
 _round_trip("lzw_gif", lambda c: C.lzw(c, gif(8)), lambda c: C.unlzw(c, gif(8)), small=True)
 for _m in ("lh0", "lh4", "lh5", "lh6", "lh7"):
     _round_trip(f"lzh_{_m}", lambda c, m=_m: C.lzh_pack(c, m), lambda c, m=_m: C.lzh_unpack(c, m), small=True)
+_round_trip("lzh_dictionary", lambda c: C.lzh_pack(c, "lh5", _DICT), lambda c: C.lzh_unpack(c, "lh5", _DICT), small=True)
+_round_trip("lz4_block_fast", lambda c: C.lz4_block(c, step=2), C.lz4_unblock, small=True)
+_round_trip("lz4_block_hc", lambda c: C.lz4_block(c, 9, _DICT), lambda c: C.lz4_unblock(c, _DICT), small=True)
 _round_trip("bwt_inverse", C.bwt, C.inverse_bwt, small=True)
 _round_trip("mtf_inverse", C.mtf, C.inverse_mtf, small=True)
 _round_trip("rle1_inverse", C.rle1, C.inverse_rle1, small=True)
@@ -221,6 +224,10 @@ def _canonical(df: DataFrame) -> DataFrame:
 
 
 query("canonical_codes", "documents", "SELECT lang, count(DISTINCT byte) AS n_symbols, count(DISTINCT byte) AS n_codes FROM (SELECT lang, unnest(list_transform(range(1, strlen(text) + 1), lambda i: substr(h, 2 * i - 1, 2))) AS byte FROM (SELECT lang, text, hex(text) AS h FROM documents)) GROUP BY lang")(_canonical)
+query("table_shares", "documents", "SELECT lang, 512::BIGINT AS cells FROM documents GROUP BY lang")(lambda df: training.table_shares(training.histogram(df, "text", "lang"), "lang").groupBy("lang").agg(F.sum("share").alias("cells")))
+query("brotli_transforms", "nation", "SELECT n_nationkey, ' ' || upper(substr(n_name, 1, 1)) || substr(n_name, 2) || ', ' AS first, upper(n_name) AS every, substr(n_name, 3) AS later, substr(n_name, 1, length(n_name) - 2) AS earlier FROM nation")(
+    lambda df: df.select("n_nationkey", C.brotli_transform(F.col("n_name"), " ", "first_upper", suffix=", ").alias("first"), C.brotli_transform(F.col("n_name"), kind="all_upper").alias("every"), C.brotli_transform(F.col("n_name"), kind="omit_first", n=2).alias("later"), C.brotli_transform(F.col("n_name"), kind="omit_last", n=2).alias("earlier"))
+)
 query("coded_size", "documents")(lambda df: training.coded_size(training.histogram(df, "text", "lang"), training.code_lengths(training.histogram(df, "text", "lang"), "lang"), "lang"))
 query("fixed_size", "documents", "SELECT lang, sum(CASE WHEN byte <= 143 THEN 8 ELSE 9 END)::BIGINT AS bits FROM (SELECT lang, unnest(list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)) AS byte FROM (SELECT lang, text, hex(text) AS h FROM documents)) GROUP BY lang")(lambda df: training.histogram(df, "text", "lang").groupBy("lang").agg(F.sum(training.fixed_length(F.col("byte")) * F.col("n")).cast("bigint").alias("bits")))
 query("ngram_counts", "part", "WITH g AS (SELECT substr(p_name, i, k) AS ngram, k AS length FROM (SELECT p_name, unnest(range(4, least(16, length(p_name)) + 1)) AS k FROM part WHERE length(p_name) >= 4), LATERAL (SELECT unnest(range(1, length(p_name) - k + 2)) AS i)) SELECT ngram, length, count(*) AS n, count(*) * length AS score FROM g GROUP BY ngram, length HAVING count(*) >= 2")(
@@ -241,7 +248,7 @@ def _chunk(codec: str, size: int) -> None:
     query(f"parallel_{codec}", "documents", "SELECT doc_id, sha256(text) AS digest FROM documents")(run)
 
 
-for _codec in ("gzip", "deflate", "bzip2", "lz4", "zstd", "xz", "snappy"):
+for _codec in ("gzip", "deflate", "bzip2", "lz4", "zstd", "xz", "snappy", "lzma2"):
     _chunk(_codec, 4096)
 query("parallel_brotli", "documents", "SELECT doc_id, sha256(text) AS digest FROM documents")(lambda df: training.unframe_table(training.frame_table(df, "text", "doc_id", 4096), "text", "doc_id").select("doc_id", F.sha2("text", 256).alias("digest")))
 query("gzip_multi_member", "conversations", "SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")(

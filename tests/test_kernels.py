@@ -76,6 +76,25 @@ def test_dictionaries(data, words):
     assert registry.zstd_decompress(registry.zstd_compress(data, 3, words), words) == data
 
 
+@settings(max_examples=30, deadline=None)
+@given(BINARY, st.integers(1, 12))
+def test_lz4_levels(data, level):
+    data = data + data[:50] * 3
+    for words in (b"", b"abcabcabc"):
+        assert lz4.decompress_block(lz4.compress_block_hc(data, level, words), len(data), words) == data
+    assert registry.lz4_unblock(lz4.compress_block_hc(data, level), len(data)) == data
+
+
+def test_zip64():
+    from quarry.containers import zip as zipfmt
+
+    w = zipfmt.Writer()
+    for i in range(70_000):
+        w.add(f"{i}", method="Stored")
+    blob = w.finish()
+    assert len(zipfmt.central(blob)) == 70_000 and len(zipfile.ZipFile(io.BytesIO(blob)).namelist()) == 70_000
+
+
 def test_large_repetitive_lzw():
     data = b"\0" * 200_000 + b"\xff" * 200_000
     assert lzw.decompress(lzw.compress(data)) == data
