@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.kernels import give_back
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,22 +69,13 @@ def with_row(df: DataFrame, row: str = "_row") -> DataFrame:
     return df.withColumn(row, F.monotonically_increasing_id())
 
 
-try:
-    _trim = ctypes.CDLL("libc.so.6").malloc_trim
-except (OSError, AttributeError):  # another C library: nothing to give back by hand
-
-    def _trim(_: int) -> int:
-        return 0
-
-
 def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """kernel, and at the end of a partition the worker's free memory goes back to the system:
     workers live on, and what one stage has used would add to the next one's need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kernel(batches)
-        pa.default_memory_pool().release_unused()
-        _trim(0)
+        give_back()
 
     return run
 

@@ -8,6 +8,7 @@ text) and not the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,15 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
     """base**i (or its inverse, modulo 2**64) for i < n at least; kept and doubled as needed."""
     key = (int(base), inverse)
