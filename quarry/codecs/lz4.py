@@ -5,6 +5,12 @@ from __future__ import annotations
 from quarry.codecs.checksums import xxh32
 
 MAGIC = b"\x04\x22\x4d\x18"
+
+
+class Truncated(ValueError):
+    """More bytes are needed."""
+
+
 WINDOW = 65535
 
 
@@ -161,8 +167,10 @@ def compress_frame(data: bytes, dictionary: bytes = b"", dict_id: int | None = N
 
 def frame_header(data: bytes) -> dict:
     """Flags, sizes and the dictionary id of a frame, and where its blocks begin."""
-    if data[:4] != MAGIC or len(data) < 7:
+    if data[:4] != MAGIC[: len(data)]:
         raise ValueError("not an LZ4 frame")
+    if len(data) < 7 or len(data) < 7 + 8 * bool(data[4] & 8) + 4 * (data[4] & 1):
+        raise Truncated("truncated header")
     flags, at = data[4], 6
     if flags >> 6 != 1:
         raise ValueError("unknown frame version")
@@ -188,7 +196,7 @@ def decompress_frame(data: bytes, dictionary: bytes = b"", limit: int | None = N
             continue
         if data[:4] != MAGIC:
             break
-        piece, used = _one_frame(data, dictionary, limit)
+        piece, used = one_frame(data, dictionary, limit)
         out.append(piece)
         data = data[used:]
     if not out:
@@ -196,14 +204,15 @@ def decompress_frame(data: bytes, dictionary: bytes = b"", limit: int | None = N
     return b"".join(out)
 
 
-def _one_frame(data: bytes, dictionary: bytes, limit: int | None) -> tuple[bytes, int]:
+def one_frame(data: bytes, dictionary: bytes = b"", limit: int | None = None) -> tuple[bytes, int]:
+    """(plain bytes, length) of the frame in front."""
     h = frame_header(data)
     if h["dict_id"] is not None and (not dictionary or xxh32(dictionary) != h["dict_id"]):
         raise ValueError("another dictionary is needed")
     at, out = h["at"], bytearray()
     while True:
         if at + 4 > len(data):
-            raise ValueError("truncated frame")
+            raise Truncated("truncated frame")
         size = int.from_bytes(data[at : at + 4], "little")
         at += 4
         if size == 0:
@@ -211,9 +220,11 @@ def _one_frame(data: bytes, dictionary: bytes, limit: int | None) -> tuple[bytes
         stored, size = size >> 31, size & 0x7FFFFFFF
         body = data[at : at + size]
         if len(body) < size:
-            raise ValueError("truncated block")
+            raise Truncated("truncated block")
         at += size
         if h["block_checksum"]:
+            if at + 4 > len(data):
+                raise Truncated("truncated frame")
             if int.from_bytes(data[at : at + 4], "little") != xxh32(body):
                 raise ValueError("block checksum mismatch")
             at += 4
@@ -227,6 +238,8 @@ def _one_frame(data: bytes, dictionary: bytes, limit: int | None) -> tuple[bytes
         if limit is not None and len(out) > limit:
             raise ValueError("output limit exceeded")
     if h["content_checksum"]:
+        if at + 4 > len(data):
+            raise Truncated("truncated frame")
         if int.from_bytes(data[at : at + 4], "little") != xxh32(bytes(out)):
             raise ValueError("content checksum mismatch")
         at += 4

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 
-from quarry.codecs import snappy
+from quarry.codecs import lz4, snappy
 
 try:
     import zstandard
@@ -169,6 +169,52 @@ def bzip2_decompress(data: bytes) -> bytes:
     return bz2.decompress(data)
 
 
+def complete_frames(codec: str, data: bytes) -> tuple[bytes, bytes]:
+    """(plain bytes of the complete frames in front, what is left). Damage is an error; a frame that
+    is only cut off is what is left."""
+    out = []
+    while data:
+        if codec == "snappy":
+            if len(data) < 4 or len(data) < 4 + int.from_bytes(data[1:4], "little"):
+                break
+            used = 4 + int.from_bytes(data[1:4], "little")
+            chunk, data = data[:used], data[used:]
+            out.append(b"" if chunk[0] == 0xFF else snappy.unframe(snappy.STREAM_ID + chunk))
+            continue
+        if codec == "lz4":
+            try:
+                plain, used = lz4.one_frame(data)
+            except lz4.Truncated:
+                break
+            out.append(plain)
+            data = data[used:]
+            continue
+        if codec == "zstd":
+            magic = int.from_bytes(data[:4], "little")
+            if len(data) < 8:
+                break
+            if magic & 0xFFFFFFF0 == 0x184D2A50:
+                used = 8 + int.from_bytes(data[4:8], "little")
+                if len(data) < used:
+                    break
+                data = data[used:]
+                continue
+            if zstandard is None:
+                return _arrow_stream(data, "zstd"), b""
+            d = zstandard.ZstdDecompressor().decompressobj()
+        else:
+            d = bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor(lzma.FORMAT_XZ)
+        try:
+            plain = d.decompress(data)
+        except Exception as error:  # each library has its own
+            raise CodecError(str(error)) from None
+        if not d.eof:
+            break
+        out.append(plain)
+        data = d.unused_data
+    return b"".join(out), data
+
+
 Compress = Callable[[bytes, int], bytes]
 Decompress = Callable[[bytes], bytes]
 

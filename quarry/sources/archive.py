@@ -1,16 +1,17 @@
 """``spark.read.format("archive")`` and its writers, as Python data sources.
 
 Reading: one partition for each file, so tables of any number of archives spread over the cluster.
-Equality, membership and prefix filters on ``archive``, ``name`` and ``format`` are pushed: files of
-another archive are not opened, and entries that the filter drops are not decoded. Payload columns
-are null unless ``content`` (or ``raw``) is asked for, as data sources are not told which columns a
+The options ``names`` (separated by newlines) and ``prefix`` pick entries before anything is decoded.
+With register(pushdown=True) equality, membership and prefix filters on ``archive`` and ``name`` do the
+same: files of another archive are not opened. Spark 4.1 keeps a pushed reader with the loaded
+relation, so with pushdown each query must load the table anew. Payload columns are null unless ``content`` (or ``raw``) is asked for, as data sources are not told which columns a
 query reads.
 
 The paths of this source are opened on the executors with Python's own file access (a mounted or
 local file system). ``operators.archives.read`` takes any file system that Spark can read.
 
 Options: path, format, mode (auto, central, local_headers, stream), lenient, content, raw, verify,
-password, memory_limit, max_ratio, glob.
+password, memory_limit, max_ratio, glob, names, prefix.
 """
 
 from __future__ import annotations
@@ -66,8 +67,8 @@ def rows_of(path: str, options: dict, names: set[str] | None, prefixes: tuple[st
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths, self.options = list_files(options["path"], options.get("glob")), _options(options)
-        self.names: set[str] | None = None
-        self.prefixes: tuple[str, ...] = ()
+        self.names: set[str] | None = set(options["names"].split("\n")) if "names" in options else None
+        self.prefixes: tuple[str, ...] = (options["prefix"],) if "prefix" in options and self.names is None else ()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -219,8 +220,8 @@ class FilesSink(DataSource):
         return FilesWriter(self.options)
 
 
-def register(spark: SparkSession) -> None:
-    """Makes both formats known and lets filters reach the reader."""
+def register(spark: SparkSession, pushdown: bool = False) -> None:
+    """Makes both formats known; pushdown lets filters reach the reader (see above)."""
     spark.dataSource.register(ArchiveSource)
     spark.dataSource.register(FilesSink)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", str(pushdown).lower())

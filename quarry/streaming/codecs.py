@@ -108,15 +108,9 @@ def decompress_step(state: tuple | None, data: bytes, codec: str = "gzip", budge
 
 
 def frame_step(state: tuple | None, data: bytes, codec: str, budget: int = 64 << 20) -> tuple[tuple, bytes]:
-    """(next state, plain bytes of all complete frames). A frame that does not decode is taken to be
-    incomplete until the stream ends."""
+    """(next state, plain bytes of all complete frames); the bytes of a frame that is cut off wait."""
     _, pending, _, size, _ = state or (b"", b"", 0, 0, 0)
-    pending += data
-    try:
-        out = registry.decompress(codec, pending)
-        pending = b""
-    except Exception:
-        out = b""
+    out, pending = registry.complete_frames(codec, pending + data)
     if len(pending) > budget:
         raise BudgetExceeded(f"{len(pending)} bytes of an incomplete frame; the budget is {budget}")
     return (b"", pending, 0, size + len(out), 1), out

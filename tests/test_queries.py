@@ -25,12 +25,14 @@ def duck(sf_dir):
 
 
 def norm(df):
+    import pandas as pd
+
     df = df[sorted(df.columns)].copy()
     for c in df:
         if df[c].dtype.kind in "mM":
             df[c] = df[c].astype("datetime64[us]").astype(str)
         else:
-            df[c] = [None if v is None or v != v else v if isinstance(v, bool | str) else round(float(v), 9) if hasattr(v, "__float__") else str(v) for v in df[c]]
+            df[c] = [None if v is None or v is pd.NA or v != v else v if isinstance(v, bool | str) else round(float(v), 9) if hasattr(v, "__float__") else str(v) for v in df[c]]
     return sorted(map(str, df.values.tolist()))
 
 
@@ -53,6 +55,12 @@ def test_source_and_sinks(spark, tmp_path):
     back.select(F.col("name").alias("path"), "content").write.format("files").option("path", str(tmp_path / "out")).mode("append").save()
     assert sorted(os.listdir(tmp_path / "out" / "d"))[0] == "0.txt" and (tmp_path / "out" / "d" / "9.txt").read_bytes() == b"x" * 9
     assert A.read(spark, str(tmp_path / "a"), verify=True).filter("status = 'OK'").count() == 20
+    picked = spark.read.format("archive").option("content", "true").option("names", "d/3.txt\nd/4.txt").load(str(tmp_path / "a"))
+    assert sorted(r["content"] for r in picked.collect()) == [b"xxx", b"xxxx"]
+    source.register(spark, pushdown=True)
+    assert [r["name"] for r in spark.read.format("archive").load(str(tmp_path / "a")).filter("name = 'd/7.txt'").collect()] == ["d/7.txt"]
+    assert spark.read.format("archive").load(str(tmp_path / "a")).filter("name like 'd/1%'").count() == 11
+    source.register(spark)
     query = spark.readStream.format("archive").load(str(tmp_path / "a")).writeStream.format("memory").queryName("archive_stream").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("archive_stream").count() == 20
