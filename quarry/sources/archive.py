@@ -2,16 +2,16 @@
 
 Reading: one partition for each file, so tables of any number of archives spread over the cluster.
 The options ``names`` (separated by newlines) and ``prefix`` pick entries before anything is decoded.
-With register(pushdown=True) equality, membership and prefix filters on ``archive`` and ``name`` do the
+With the option ``pushdown`` equality, membership and prefix filters on ``archive`` and ``name`` do the
 same: files of another archive are not opened. Spark 4.1 keeps a pushed reader with the loaded
-relation, so with pushdown each query must load the table anew. Payload columns are null unless ``content`` (or ``raw``) is asked for, as data sources are not told which columns a
+relation, so with it each query must load the table anew. Payload columns are null unless ``content`` (or ``raw``) is asked for, as data sources are not told which columns a
 query reads.
 
 The paths of this source are opened on the executors with Python's own file access (a mounted or
 local file system). ``operators.archives.read`` takes any file system that Spark can read.
 
 Options: path, format, mode (auto, central, local_headers, stream), lenient, content, raw, verify,
-password, memory_limit, max_ratio, glob, names, prefix.
+password, memory_limit, max_ratio, glob, names, prefix, pushdown.
 """
 
 from __future__ import annotations
@@ -70,6 +70,19 @@ class ArchiveReader(DataSourceReader):
         self.names: set[str] | None = set(options["names"].split("\n")) if "names" in options else None
         self.prefixes: tuple[str, ...] = (options["prefix"],) if "prefix" in options and self.names is None else ()
 
+    def partitions(self) -> Sequence[InputPartition]:
+        return [ArchiveFile(p) for p in self.paths]
+
+    def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, ArchiveFile):
+            return iter(())
+        # names filter first, prefixes only without names: together they would be a union
+        return rows_of(partition.path, self.options, self.names, self.prefixes if self.names is None else ())
+
+
+class PushedArchiveReader(ArchiveReader):
+    """With filters from the query."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             column = getattr(f, "attribute", None)
@@ -86,15 +99,6 @@ class ArchiveReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> Sequence[InputPartition]:
-        return [ArchiveFile(p) for p in self.paths]
-
-    def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, ArchiveFile):
-            return iter(())
-        # names filter first, prefixes only without names: together they would be a union
-        return rows_of(partition.path, self.options, self.names, self.prefixes if self.names is None else ())
-
 
 class ArchiveStream(SimpleDataSourceStreamReader):
     """New archive files of a folder, by name: offsets are the last name seen."""
@@ -199,7 +203,7 @@ class ArchiveSource(DataSource):
         return ENTRIES
 
     def reader(self, schema: StructType) -> ArchiveReader:
-        return ArchiveReader(self.options)
+        return (PushedArchiveReader if _true(self.options.get("pushdown")) else ArchiveReader)(self.options)
 
     def simpleStreamReader(self, schema: StructType) -> ArchiveStream:
         return ArchiveStream(self.options)
@@ -220,8 +224,8 @@ class FilesSink(DataSource):
         return FilesWriter(self.options)
 
 
-def register(spark: SparkSession, pushdown: bool = False) -> None:
-    """Makes both formats known; pushdown lets filters reach the reader (see above)."""
+def register(spark: SparkSession) -> None:
+    """Makes both formats known to a session."""
     spark.dataSource.register(ArchiveSource)
     spark.dataSource.register(FilesSink)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", str(pushdown).lower())
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # for readers that ask for it
