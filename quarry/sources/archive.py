@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, SimpleDataSourceStreamReader, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, DataSourceStreamReader, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from quarry.containers import archive
@@ -100,35 +100,24 @@ class PushedArchiveReader(ArchiveReader):
                 yield f
 
 
-class ArchiveStream(SimpleDataSourceStreamReader):
-    """New archive files of a folder, by name: offsets are the last name seen."""
+class ArchiveStream(DataSourceStreamReader):
+    """New archive files of a folder, in the order of their names: the offset is the last name. Files
+    are read on the executors, one partition each."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.glob, self.options = options["path"], options.get("glob"), _options(options)
-        self.most = int(options.get("max_files", 100))
 
     def initialOffset(self) -> dict:
         return {"after": ""}
 
-    def _files(self, after: str, until: str | None = None) -> list[str]:
-        return [p for p in list_files(self.path, self.glob) if p > after and (until is None or p <= until)]
+    def latestOffset(self, *_: object) -> dict:
+        return {"after": max(list_files(self.path, self.glob), default="")}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = self._files(start["after"])[: self.most]
-        return self._rows(files), {"after": files[-1] if files else start["after"]}
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        return [ArchiveFile(p) for p in list_files(self.path, self.glob) if start["after"] < p <= end["after"]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(self._files(start["after"], end["after"]))
-
-    def _rows(self, files: list[str]) -> Iterator[tuple]:
-        for path in files:
-            with open(path, "rb") as f:
-                data = f.read()
-            for e in archive.rows(data, path, **self.options):
-                row = {n: e[n] for n in ENTRIES.names}
-                row["attributes"] = tuple(row["attributes"].values()) if row["attributes"] else None
-                row["warnings"] = [tuple(w.values()) for w in row["warnings"]]
-                yield tuple(row.values())
+    def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
+        return rows_of(partition.path, self.options, None, ())
 
 
 @dataclass
@@ -205,7 +194,7 @@ class ArchiveSource(DataSource):
     def reader(self, schema: StructType) -> ArchiveReader:
         return (PushedArchiveReader if _true(self.options.get("pushdown")) else ArchiveReader)(self.options)
 
-    def simpleStreamReader(self, schema: StructType) -> ArchiveStream:
+    def streamReader(self, schema: StructType) -> ArchiveStream:
         return ArchiveStream(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
