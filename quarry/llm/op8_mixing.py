@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from quarry.llm import kernels as K
 from quarry.llm.common import map_arrow, materialise, table, with_row
 
-SEED = 20240
+SEED, DOCS_PER_SHARD = 20240, 4096
 
 
 def cyclic_weights(sources: Sequence[str | None], cycle: Sequence[float] = (5, 2, 1)) -> dict[str | None, float]:
@@ -158,11 +158,12 @@ def plan(
     return out.select(*keep, "_row", "source", "size", "source_size", "target", "taken", "copies")
 
 
-def mix(docs: DataFrame, targets: Callable[[dict], dict], text: str = "text", source: str = "source", shards: int = 64, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: Callable[[dict], dict], text: str = "text", source: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The mixed corpus with the columns of docs: whole documents, as often as they are drawn, dealt
     to their shards and put in hashed order inside each. The draw works on slim rows and comes back
     to the documents by a 128-bit hash of the row; equal rows are told apart by a running number."""
     names = docs.columns
+    shards = shards or max(64, -(-docs.count() // DOCS_PER_SHARD))  # a shard is one task: it must not grow with the input
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     columns = plain.columns
     numbered = plain.withColumns({f"_id{k}": F.xxhash64(F.lit(k), *columns) for k in (1, 2)})
