@@ -8,7 +8,6 @@ import zlib
 from collections.abc import Iterator
 
 from quarry.codecs import lz4, registry, snappy
-from quarry.codecs.szip import Params  # noqa: F401  (sample streams are columns, not archives)
 from quarry.containers.model import Entry, FormatError, dos_time, filetime, unix_time
 
 # ---- 7z ----
