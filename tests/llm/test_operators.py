@@ -379,3 +379,43 @@ def test_pipeline(spark, rows, tmp_path):
         docs = after
     assert docs.where("not round_trip").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_dedup_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    fresh = lambda k: [f"w{r.randrange(100000)}" for _ in range(k)]
+    boiler, texts = fresh(30), []
+    for i in range(40):
+        base = fresh(r.randint(20, 150)) + (boiler if i % 3 == 0 else [])
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 5):  # similarity falls from about 0.95 to below 0.8
+            w = list(base)
+            for at in r.sample(range(len(w)), edits):
+                w[at] = fresh(1)[0]
+            texts.append(" ".join(w))
+    core = fresh(120)
+    texts += [" ".join(core[:i] + fresh(1) + core[i + 1 :]) for i in range(0, 120, 3)]  # one large group
+    texts += [texts[0], texts[0].upper(), "one two", "One  two", "one", "", " ", None]
+    r.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = words((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    path = str(tmp_path / "near")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(path)
+    got = corpus_pipeline.near_dedup(spark, spark.read.parquet(path), None)
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted({find(i) for i in range(len(texts))})
