@@ -419,3 +419,22 @@ def test_near_dedup_against_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(path)
     got = corpus_pipeline.near_dedup(spark, spark.read.parquet(path), None)
     assert sorted(x["doc_id"] for x in got.collect()) == sorted({find(i) for i in range(len(texts))})
+
+
+def test_pii_adds_disguised_spans(spark):
+    r = random.Random(5)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    card = lambda n: op7_pii._checked("4" + digits(n - 1))
+    say = lambda: " ".join(r.choice(["the", "river", "old", "house", "green", "walks", "again"]) for _ in range(r.randint(2, 6)))
+    texts = []
+    for _ in range(300):
+        base = [f"{r.choice('abc')}{digits(2)}.x@mail{digits(1)}.example.com", ".".join(str(r.randint(0, 255)) for _ in range(4)), f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", card(16)]
+        texts.append(f"{say()} " + f" {say()} ".join(base) + f" {say()} id={digits(9)} {say()}")
+    plants = [("email", "kim (AT) mail (DOT) example (DOT) com"), ("email", "kim[at]mail.example.org"), ("ip", "10 . 20 . 3 . 77"), ("phone", "1 (555) 123-4567"), ("card", "3782 822463 10005")]
+    others = ["look (at) this. Then", "id=123456789", "10 . 20 . 3 . 777"]
+    marked = [f"the old house {p} again walks" for _, p in plants] + [f"the old house {p} again" for p in others]
+    rows = list(enumerate(texts + marked))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {g["doc_id"]: g["spans"] for g in op7_pii.find(frame, op7_pii.fit(frame)).collect()}
+    assert [got[len(texts) + i] for i in range(len(plants))] == [f"{k}:14:{14 + len(p)}" for k, p in plants]
+    assert [got[len(texts) + len(plants) + i] for i in range(len(others))] == [""] * len(others)
