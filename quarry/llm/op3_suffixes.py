@@ -9,14 +9,14 @@
    different context are opened at their source coordinates.
 3. The opened suffixes are sorted globally, by range partitions: a hot head falls apart where its
    continuations differ. Each is compared with its neighbours and the match is extended to the right
-   and to the left, word by word. The order is taken over ``LEFTS`` classes: the plain suffix order, and
-   orders within equal left contexts of given lengths, so that a neighbour with a longer right match
-   cannot hide one with a longer left match. Rows at partition edges meet in a second, small round
+   and to the left, word by word. The order is taken over one class for every left length: the suffix order within equal
+   left contexts of that many words, so that a neighbour with a longer right match cannot hide one with a
+   longer left match. Rows at partition edges meet in a second, small round
    (two rows a partition).
 4. Matches of ``min_words`` or more become spans of the occurrences.
 
-Every shared passage of ``min_words`` + 10 words or more is found whatever else is shared; of those
-from ``min_words`` on, all but ones hidden by two other partial copies at once. Nothing shorter than
+Every shared passage of ``min_words`` or more is found whole, whatever else is shared: in the class of its
+left length, the neighbour of either copy matches as far to the right at least. Nothing shorter than
 ``min_words`` is reported. Spans are [start, end) in words of the text.
 
 Edges: null, empty and short texts have no spans; a repeated row is another document; an empty table
@@ -36,7 +36,7 @@ from quarry.llm import kernels as K
 from quarry.llm.common import materialise, table
 from quarry.llm.slabs import numbered, per_slab, slabs, with_texts
 
-MIN_WORDS, SEED, LEFTS = 50, 8, (0, 11, 22)
+MIN_WORDS, SEED = 50, 8
 
 
 def _shape(min_words: int, seed: int) -> tuple[int, int, int]:
@@ -102,16 +102,14 @@ def _opened(min_words: int, seed: int):
 
 def _contexts(keys: pa.Array, min_words: int, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, left words, right words) of sort keys."""
-    width = 1 + 4 * (left + min_words)
+    width = 2 + 4 * (left + min_words)
     _, off, data = keys.buffers()
     start = int(np.frombuffer(off, np.int32)[keys.offset])
     rows = np.frombuffer(data, np.uint8, len(keys) * width, start).reshape(-1, width)
-    kind, words = rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(">u4")
+    kind, words = np.ascontiguousarray(rows[:, :2]).view(">u2").ravel(), np.ascontiguousarray(rows[:, 2:]).view(">u4")
     back, right = np.empty((len(rows), left), ">u4"), np.empty((len(rows), min_words), ">u4")
-    for i, n in enumerate(LEFTS):
-        own = kind == i
-        if not own.any():
-            continue
+    for n in np.unique(kind).tolist():
+        own = kind == n
         right[own] = words[own, n : n + min_words]
         back[own] = np.concatenate((words[own, :n], words[own, n + min_words :]), 1)
     return kind, back, right
@@ -167,7 +165,7 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> Da
     kinds = materialise(kinds, "suffix-kinds")
     opened = with_texts(docs, kinds.where("_differ"), ["_at", "_c"], _opened(min_words, seed), "_c bigint, _right binary, _left binary")
     # 0 bytes mark the text's start: such a row has no left context of that length and stays out of the class
-    classes = [F.when(F.lit(n == 0) | (F.substring("_left", 4 * n - 3, 4) != F.lit(b"\0\0\0\0")), F.concat(F.lit(bytes([i])), F.substring("_left", 1, 4 * n), F.col("_right"), F.substring("_left", 4 * n + 1, 4 * left))) for i, n in enumerate(LEFTS) if n == 0 or n <= left]
+    classes = [F.when(F.lit(n == 0) | (F.substring("_left", 4 * n - 3, 4) != F.lit(b"\0\0\0\0")), F.concat(F.lit(n.to_bytes(2, "big")), F.substring("_left", 1, 4 * n), F.col("_right"), F.substring("_left", 4 * n + 1, 4 * left))) for n in range(left + 1)]
     # a key holds the whole context, so that no two are equal and range partitions can split any group
     keyed = opened.select("_c", F.explode(F.array_compact(F.array(*classes))).alias("_key"))
     order = keyed.repartitionByRange("_key").sortWithinPartitions("_key")

@@ -438,3 +438,20 @@ def test_pii_adds_disguised_spans(spark):
     got = {g["doc_id"]: g["spans"] for g in op7_pii.find(frame, op7_pii.fit(frame)).collect()}
     assert [got[len(texts) + i] for i in range(len(plants))] == [f"{k}:14:{14 + len(p)}" for k, p in plants]
     assert [got[len(texts) + len(plants) + i] for i in range(len(others))] == [""] * len(others)
+
+
+def test_suffixes_with_overlapping_partial_copies(spark, tmp_path):
+    r = random.Random(9)
+    fresh = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for trial in range(400):
+        passage, after = fresh(50 + trial % 8), fresh(49)
+        shift = r.randint(1, 5)
+        # the third text shares 49 words with the first, beyond the end of the passage
+        copies = (fresh(60) + passage + after, fresh(60) + passage + fresh(60), fresh(60) + passage[-(49 - shift) :] + after[:shift] + fresh(60))
+        rows += [(3 * trial + i, " ".join(c)) for i, c in enumerate(copies)]
+    path = str(tmp_path / "partial")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(path)
+    gone, _ = repeated(rows, 50)
+    got = {g["doc_id"]: {x for s in g["spans"] for x in range(s["start"], s["end"])} for g in op3_suffixes.spans(spark.read.parquet(path)).collect()}
+    assert got == {n: g for (n, _), g in zip(rows, gone, strict=True)}
