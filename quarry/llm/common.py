@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where it is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of its own in
+    local mode, which has one machine, and a ValueError on a cluster."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -35,7 +39,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, list[str]] = {}
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False, options: dict[str, str] | None = None) -> DataFrame:
     """Cuts the lineage: writes a slim intermediate as Parquet to the shared folder and reads it
     back, so that a lost executor costs no recomputation and no second scan of the texts. The shuffle
     files behind it go at once, as nothing reads them again. keep: release() leaves it."""
@@ -48,20 +52,31 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the intermediates made so far, on whatever file system they are. Only for when every
     result that reads them has been written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in _made.pop(spark.sparkContext.applicationId, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(spark, path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes intermediates that nothing reads any more; each frame as materialise() gave it."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/quarry-" in path:
+                _delete(df.sparkSession, path)
 
 
 def with_row(df: DataFrame, row: str = "_row") -> DataFrame:

@@ -11,19 +11,25 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 19
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+_PRIME, _LOW31 = np.uint64((1 << 61) - 1), np.uint64((1 << 31) - 1)
+LONG = 256  # words of more bytes than these take XXH64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def give_back() -> None:
     """Returns a worker's free memory to the system, where the C library can."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -31,19 +37,6 @@ def give_back() -> None:
         pass
 
 
-def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
-    """base**i (or its inverse, modulo 2**64) for i < n at least; kept and doubled as needed."""
-    key = (int(base), inverse)
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        step = pow(int(base), -1, 1 << 64) if inverse else int(base)
-        size = max(1 << 16, 1 << int(n).bit_length())
-        out = np.full(size, np.uint64(step), np.uint64)
-        out[0] = 1
-        have = _powers[key] = np.multiply.accumulate(out)
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -54,15 +47,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _P) -> np.ndarray:
+    """Hash of the bytes data[start:end] of every span: eight bytes at a time go through the
+    finaliser, all spans together; long spans take XXH64."""
+    n = len(data)
+    wide = np.zeros(n + 8, np.uint8)
+    wide[:n] = data
+    eight = np.ndarray((n + 1,), "<u8", wide, strides=(1,))
+    starts, size = np.asarray(starts), np.asarray(ends) - starts
+    out = mix(size.astype(np.uint64) * _R + base)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        h = mix((h ^ (eight[at] & _HEAD[np.minimum(left, 8)])) * _Q + base)
+        left = left - 8
+        more = left > 0
+        out[live[~more]] = h[~more]
+        live, at, left, h = live[more], at[more] + 8, left[more], h[more]
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        raw = wide.data
+        out[far] = [xxhash.xxh64_intdigest(raw[a:b], int(base)) for a, b in zip(starts[far].tolist(), (starts[far] + size[far]).tolist(), strict=True)]
+    return out
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, of numbers below it."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a1 * b0
+    middle += a0 * b1
+    out = (a1 * b1) << np.uint64(1)
+    out += middle >> np.uint64(30)
+    out += (middle & np.uint64((1 << 30) - 1)) << np.uint64(31)
+    out += a0 * b0
+    return _reduced(out)
+
+
+def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
+    """base**i (or its inverse) modulo 2**61 - 1 for i < n at least; kept and doubled as needed."""
+    key = (int(base), inverse)
+    have = _powers.get(key)
+    if have is None or len(have) < n:
+        prime = int(_PRIME)
+        step = pow(int(base) % prime, -1 if inverse else 1, prime)
+        have = np.ones(1, np.uint64) if have is None else have
+        while len(have) < max(n, 1 << 14):
+            have = np.concatenate((have, _product(have, np.uint64(pow(step, len(have), prime)))))
+        _powers[key] = have
+    return have
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _P) -> np.ndarray:
-    """Hash of values[start:end] for every span, by one running sum (values: unsigned integers)."""
+    """Hash of values[start:end] for every span (values: unsigned integers), as a polynomial modulo the
+    prime 2**61 - 1 by one running sum: two different spans of n values meet by a chance of n / 2**61."""
     n = len(values)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(base, n)[:n], out=total[1:])
-    out = total[ends]
-    out -= total[starts]
-    out *= powers(base, n + 1, True)[starts]
+    terms = _product(_reduced(values.astype(np.uint64, copy=False)), powers(base, n)[:n])
+    total = np.zeros(n + 1, np.uint64)
+    low, high = np.cumsum(terms & np.uint64(0xFFFFFFFF)), np.cumsum(terms >> np.uint64(32))
+    high = _reduced(high)
+    total[1:] = _reduced(_reduced(low) + _reduced((high << np.uint64(32) & _PRIME) + (high >> np.uint64(29))))
+    out = _product(_reduced(total[ends] + (_PRIME - total[starts])), powers(base, n + 1, True)[starts])
     out += (np.asarray(ends) - starts).astype(np.uint64) * _R
     return mix(out)
 
@@ -82,7 +131,23 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, base: np.uint64 = _P) -> np.ndarray:
-        return span_hash(self.data, self.starts, self.ends, base)
+        return byte_hash(self.data, self.starts, self.ends, base)
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(all words, each with a space behind it; where each begins; where it ends)."""
+        sizes = self.ends - self.starts
+        ends = np.cumsum(sizes + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+        starts = ends - sizes - 1
+        out[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)] = self.data[np.flatnonzero(~SPACE[self.data])]
+        return out.tobytes(), starts, ends - 1
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """BLAKE2b-128 of the words first to last - 1 joined by one space, for every span: n x 2 int64."""
+        raw, starts, ends = self.joined()
+        spans = zip(starts[first].tolist(), ends[np.asarray(last) - 1].tolist(), strict=True)
+        names = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in spans])
+        return np.frombuffer(names, "<i8").reshape(-1, 2)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

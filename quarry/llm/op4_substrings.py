@@ -4,18 +4,20 @@ The edges of the graph are the k-mers of ``WINDOW`` tokens; a window is removed
 anywhere else. Edges are never shuffled one by one:
 
 1. Compaction inside documents: consecutive edges that share their minimiser (the smallest token
-   ``SEED``-gram) form one path, a super-k-mer (minimiser, content, slab, first word). Equal edges
-   always have the same minimiser, so paths of minimisers seen once are dropped by a join.
-2. Compaction across documents: paths of equal content collapse into one with a count. One with a
-   count of two or more is a repeated nonbranching path: all its edges repeat. A path seen once whose
+   ``SEED``-gram) form one path, a super-k-mer. Equal edges always have the same minimiser, so paths of
+   minimisers seen once are dropped by a join.
+2. Source coordinates verify: the words of each path are read at its place in the text and named by
+   their 128-bit BLAKE2b digest. Paths of equal digest collapse into one with a count. One with a count
+   of two or more is a repeated nonbranching path: all its edges repeat. A path seen once whose
    minimiser also begins others branches, and only branching paths are opened.
 3. Opening goes back to the words at the source coordinates of one occurrence of each branching
-   path and hashes each of its edges; edge counts come back to the paths as a bit mask.
+   path and names each of its edges by two independent 64-bit hashes; edge counts come back to the
+   paths as a bit mask.
 4. Masks join the occurrences, return to the documents as word spans, and the spans are cut out.
 
 Nothing is decided on what is left: all windows are judged on the input. Minima, counts and masks
 are pre-aggregated before their shuffle, and the joins on minimisers, paths and edges deal both
-sides by key, so that a hot passage can be split.
+sides by key, so that a hot passage can be split. The texts are written once as slabs.
 
 Edges of use: null and empty texts have no words; texts under WINDOW words have no window and stay;
 repeated rows are documents of their own and so repeat each other; an empty table gives none.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
 from quarry.llm.common import materialise, table
-from quarry.llm.slabs import numbered, per_slab, with_texts
+from quarry.llm.slabs import Slabs, per_slab, stored, with_texts
 
 WINDOW, SEED = 35, 8
 
@@ -91,41 +93,46 @@ def _counted(window: int, seed: int):
 
 def _placed(window: int, seed: int):
     def kernel(slab: int, words: K.Words) -> list[pa.Array]:
-        m, c, first, size = paths(words, window, seed)
-        return [pa.array(np.full(len(m), slab), pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(m.view(np.int64)), pa.array(c.view(np.int64))]
+        m, _, first, size = paths(words, window, seed)
+        name = words.digests(first, first + size + window - 1)
+        return [pa.array(np.full(len(m), slab), pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(m.view(np.int64)), pa.array(name[:, 0]), pa.array(name[:, 1])]
 
     return kernel
 
 
 def _opened(window: int):
-    def kernel(rows: pa.RecordBatch, words: K.Words, at: np.ndarray, size: np.ndarray, path: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        hashes = words.hashes(K._R)  # another base than the paths': the check does not repeat their hash
+    def kernel(rows: pa.RecordBatch, words: K.Words, at: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        edge = K.span_hash(hashes, starts, starts + window)
-        bounds = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(path, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(edge.view(np.int64)))], ["_path", "_n", "_edges"])
+        bounds = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+        edges = []
+        for base in (K._P, K._R):
+            edge = K.span_hash(words.hashes(base), starts, starts + window, base)
+            edges.append(pa.ListArray.from_arrays(bounds, pa.array(edge.view(np.int64))))
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n, pa.int64()), *edges], ["_c", "_d", "_n", "_e1", "_e2"])
 
     return kernel
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def repeated(held: Slabs, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(_slab, _at, _mask): bit i of the mask says that the window at word _at + i of the slab
-    occurs elsewhere. docs: as from slabs.numbered."""
-    seen = per_slab(docs, _counted(window, seed), "_m bigint, _c bigint, _n bigint")
+    occurs elsewhere. No column holds nulls."""
+    seen = per_slab(held, _counted(window, seed), "_m bigint, _c bigint, _n bigint")
     shared = seen.groupBy("_m").agg(F.sum("_n").alias("_t"), F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_t > 1").select(F.col("_m").alias("_k"), (F.col("_a") != F.col("_b")).alias("_branches"))
     shared = materialise(shared, "path-minimisers")  # on its own, so that both sides of the join are dealt by it and a hot minimiser can be split
-    placed = per_slab(docs, _placed(window, seed), "_slab bigint, _at int, _size int, _m bigint, _c bigint")
-    found = materialise(placed.join(shared, F.col("_m") == F.col("_k")).drop("_k"), "paths")
-    kinds = found.groupBy("_m", "_c").agg(F.count(F.lit(1)).alias("_n"), F.first("_slab").alias("_slab"), F.first("_at").alias("_at"), F.first("_size").alias("_size"), F.first("_branches").alias("_branches"))
+    placed = per_slab(held, _placed(window, seed), "_slab bigint, _at int, _size int, _m bigint, _c bigint, _d bigint")
+    found = materialise(placed.join(shared, F.col("_m") == F.col("_k")).drop("_k", "_m"), "paths")
+    kinds = found.groupBy("_c", "_d").agg(F.count(F.lit(1)).alias("_n"), F.first("_slab").alias("_slab"), F.first("_at").alias("_at"), F.first("_size").alias("_size"), F.first("_branches").alias("_branches"))
     kinds = materialise(kinds, "path-kinds")
-    opened = with_texts(docs, kinds.where("_branches"), ["_at", "_size", "_c", "_n"], _opened(window), "_path bigint, _n bigint, _edges array<bigint>")
+    opened = with_texts(held, kinds.where("_branches"), ["_at", "_size", "_c", "_d", "_n"], _opened(window), "_c bigint, _d bigint, _n bigint, _e1 array<bigint>, _e2 array<bigint>")
     opened = materialise(opened, "path-edges")
-    edges = opened.select("_n", F.explode("_edges").alias("_e")).groupBy("_e").agg(F.sum("_n").alias("_t")).where("_t > 1").select("_e")
-    single = opened.where("_n = 1").select("_path", F.posexplode("_edges").alias("_i", "_o"))
-    partial = single.join(edges, F.col("_o") == F.col("_e")).groupBy("_path").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_i"))).alias("_mask"))
-    whole = kinds.where("_n > 1").select(F.col("_c").alias("_path"), (F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_size")) - 1).alias("_mask"))
-    masks = materialise(whole.union(partial), "path-masks")
-    return found.join(masks, F.col("_c") == F.col("_path")).select("_slab", "_at", "_mask")
+    edge = F.explode(F.arrays_zip("_e1", "_e2")).alias("_e")
+    edges = opened.select("_n", edge).groupBy(F.col("_e._e1").alias("_p"), F.col("_e._e2").alias("_q")).agg(F.sum("_n").alias("_t")).where("_t > 1").drop("_t")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    single = opened.where("_n = 1").select("_c", "_d", F.posexplode(F.arrays_zip("_e1", "_e2")).alias("_i", "_o"))
+    partial = single.join(edges, (F.col("_o._e1") == F.col("_p")) & (F.col("_o._e2") == F.col("_q"))).groupBy("_c", "_d").agg(F.bit_or(bit(F.col("_i"))).alias("_mask"))
+    whole = kinds.where("_n > 1").select("_c", "_d", (bit(F.col("_size")) - 1).alias("_mask"))
+    masks = materialise(whole.union(partial), "path-masks").withColumnsRenamed({"_c": "_c1", "_d": "_d1"})
+    return found.join(masks, (F.col("_c") == F.col("_c1")) & (F.col("_d") == F.col("_d1"))).select("_slab", "_at", "_mask")
 
 
 def covered(words: K.Words, at: np.ndarray, mask: np.ndarray, window: int) -> np.ndarray:
@@ -154,8 +161,7 @@ def kept_bytes(words: K.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, seed: int = SEED, texts: bool = False) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256[, kept_text]) for every row of docs."""
-    base = numbered(docs, text, key)
-    kind = base.schema["_key"].dataType.simpleString()
+    held = stored(docs, text, key)
 
     def cut(rows: pa.RecordBatch, words: K.Words, at: np.ndarray, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
         gone = covered(words, at, mask.astype(np.int64), window)
@@ -168,8 +174,8 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
             columns.append(pa.array([p.decode() for p in parts], pa.string()))
         yield pa.RecordBatch.from_arrays(columns, ["_key", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts])
 
-    schema = f"_key {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
-    return with_texts(base, repeated(base, window, seed), ["_at", "_mask"], cut, schema, "left").withColumnRenamed("_key", key)
+    schema = f"_key {held.kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
+    return with_texts(held, repeated(held, window, seed), ["_at", "_mask"], cut, schema, "left").withColumnRenamed("_key", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,16 @@ similarity 1. Lines without a word stay.
 
 1. Rarity: words of all texts are counted in a fixed table of hashed slots (2**18, 2 MB however large
    the input), which gives one global order, rare slots first.
-2. Each line's tokens are put in that order; sets are identified by their hash, and equal sets
-   collapse to their earliest line by a grouped minimum.
+2. Each line's tokens are put in that order; sets are named by 128 bits of their tokens' hashes, and
+   equal sets collapse to their earliest line by a grouped minimum. Sets are numbered in the order of
+   these lines.
 3. The prefix of each set is posted under its tokens. Inside a posting, sets pass the length filter,
    the positional filter and a parity signature (a bound on the symmetric difference). A set is
-   paired with the earliest that passes, once a posting, so pairs grow with the postings.
+   paired with the earliest that passes, once a posting, so pairs grow with the postings. The postings
+   of frequent words are dealt to blocks (see set_join).
 4. Pairs are verified on the words at their source coordinates. Sets that are still unmatched but had
-   more candidates in some posting take a second round against all of these.
+   more candidates in some posting, or a frequent word in their prefix, take a second round in which
+   candidates are verified where they meet.
 
 Edges: null or empty texts have no lines with words; repeated rows are later documents; null keys
 come last; an empty table gives none; very long lines are sets like any other.
@@ -29,19 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import materialise, table, trimmed
-from quarry.llm.slabs import numbered, slabs, with_texts
+from quarry.llm import set_join
+from quarry.llm.common import forget, materialise, table, trimmed
+from quarry.llm.set_join import EPS, across, block_of, first_round, second_round
+from quarry.llm.slabs import Slabs, slabs, stored, with_texts
 
 THRESHOLD, SLOT_BITS, PIECES = 0.8, 18, 64
-_EPS = 1e-9
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Rank of each slot, rarest first. Partial tables are summed piece by piece in the executors."""
+def rarity(held: Slabs) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each slot, rarest first; words in each). Partial tables are summed piece by piece in the executors."""
     size = (1 << SLOT_BITS) // PIECES
 
     def rows(pieces: dict) -> Iterator[pa.RecordBatch]:
@@ -62,13 +66,13 @@ def rarity(docs: DataFrame) -> np.ndarray:
         yield from rows(sums)
 
     schema = "piece int, counts binary"
-    parts = docs.mapInArrow(trimmed(count), schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()  # 64 rows of 32 KB
+    parts = held.blobs.mapInArrow(trimmed(count), schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()  # 64 rows of 32 KB
     total = np.zeros((PIECES, size), np.int64)
     for r in parts:
         total[r["piece"]] = np.frombuffer(r["counts"], np.int64)
     rank = np.empty(1 << SLOT_BITS, np.int64)
     rank[np.argsort(total.ravel(), kind="stable")] = np.arange(1 << SLOT_BITS)
-    return rank
+    return rank, total.ravel()
 
 
 def line_bounds(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -85,129 +89,59 @@ def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def line_sets(words: K.Words, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct tokens by line, rarest first; bounds by line). A token is 44 bits of its hash here:
-    enough to post and to name sets by; similarity is decided on whole hashes."""
+    """(distinct tokens by line, rarest slot first; bounds by line). A token is the hash of a word, and the
+    order is that of (rank of the slot, low bits, hash) in all lines."""
     begin, _ = line_bounds(words)
     hashes = words.hashes()
     line = np.searchsorted(begin, words.starts, "right") - 1
-    low = hashes & np.uint64((1 << 26) - 1)
-    key = rank[_slot(hashes)].astype(np.uint64) << np.uint64(26) | low
-    if len(begin) < 1 << 20:
-        both = np.sort(line.astype(np.uint64) << np.uint64(44) | key)
-        line, key = both >> np.uint64(44), both & np.uint64((1 << 44) - 1)
-    else:
-        order = np.lexsort((key, line))
-        line, key = line[order], key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-    line, key = line[new], key[new]
-    slots = np.empty_like(rank)
-    slots[rank] = np.arange(len(rank))
-    token = slots[(key >> np.uint64(26)).astype(np.int64)].astype(np.uint64) << np.uint64(46) | key & np.uint64((1 << 26) - 1)
+    place, low = rank[_slot(hashes)].astype(np.uint64), hashes & np.uint64((1 << 26) - 1)
+    order = None
+    if len(begin) < 1 << 20:  # all in one number
+        key = line.astype(np.uint64) << np.uint64(44) | place << np.uint64(26) | low
+        order = np.argsort(key, kind="stable")
+        tie = key[order][1:] == key[order][:-1]
+        if (hashes[order][1:][tie] != hashes[order][:-1][tie]).any():
+            order = None  # two words share a place
+    if order is None:
+        order = np.lexsort((hashes, low, place, line))
+    line, token = line[order], hashes[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
+    line, token = line[new], token[new]
     return token, np.searchsorted(line, np.arange(len(begin) + 1))
 
 
-def lines(docs: DataFrame, rank: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """(_key, _slab, _line, _set, _n, _sig, _more, _prefix array<int>) of the lines with words: number of
-    tokens and a parity signature of 128 bits."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)  # 2 MB, a fixed size
-    kind = docs.schema["_key"].dataType.simpleString()
+def lines(held: Slabs, rank: np.ndarray, blocks: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """(_key, _slab, _line, _s1, _s2, _n, _sig0, _sig1, _prefix array<int>, _blocks array<int>) of the lines
+    with words: name of the set, number of tokens, a parity signature of 128 bits, posted tokens and the
+    blocks that their postings are dealt to."""
+    shared = held.blobs.sparkSession.sparkContext.broadcast((rank, blocks.astype(np.int32)))  # 3 MB, a fixed size
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, blocks = shared.value
         for slab, rows, data, offsets in slabs(batches):
             words = K.words_of(data, offsets)
             _, row = line_bounds(words)
-            token, bounds = line_sets(words, shared.value)
+            token, bounds = line_sets(words, rank)
             n = np.diff(bounds)
-            held = np.flatnonzero(n)
-            size = n[held]
-            # the identity does not depend on the order, which differs between inputs
-            ident = K.mix(np.add.reduceat(K.mix(token), bounds[:-1][held]) + size.astype(np.uint64)) if len(held) else np.empty(0, np.uint64)
+            line = np.flatnonzero(n)
+            size, at = n[line], bounds[:-1][line]
+            # the name does not depend on the order, which differs between inputs
+            name = [K.mix(np.add.reduceat(K.mix(token ^ seed), at) + size.astype(np.uint64)) if len(line) else np.empty(0, np.uint64) for seed in (K._P, K._R)]
             half = [np.where((token >> np.uint64(6)) & np.uint64(1) == k, np.uint64(1) << (token & np.uint64(63)), np.uint64(0)) for k in (0, 1)]
-            parity = [np.bitwise_xor.reduceat(h, bounds[:-1][held]) if len(held) else h for h in half]
-            prefix = size - np.ceil(threshold * size - _EPS).astype(np.int64) + 1
+            parity = [np.bitwise_xor.reduceat(h, at) if len(line) else h for h in half]
+            prefix = size - np.ceil(threshold * size - EPS).astype(np.int64) + 1
             ends = np.cumsum(prefix)
-            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[:-1][held] - (ends - prefix), prefix)
-            codes = (K.mix(token[take]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(codes))
-            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row[held])), pa.array(np.full(len(held), slab), pa.int64()), pa.array(held, pa.int32()), pa.array(ident.view(np.int64)), pa.array(size, pa.int32()), pa.array(parity[0].view(np.int64)), pa.array(parity[1].view(np.int64)), lists], ["_key", "_slab", "_line", "_set", "_n", "_sig", "_more", "_prefix"])
-
-    return docs.mapInArrow(trimmed(kernel), f"_key {kind}, _slab bigint, _line int, _set bigint, _n int, _sig bigint, _more bigint, _prefix array<int>")
-
-
-def _passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Positional filter and signature bound of pairs; lengths are compatible already."""
-    both = n[i] + n[j]
-    need = np.ceil(threshold / (1 + threshold) * both - _EPS).astype(np.int64)
-    ahead = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-    return (ahead >= need) & (sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sig) <= both - 2 * need)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole postings; rows come sorted by the first column, over batch ends."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        held = [c[cut:] for c in columns]
-        if cut:
-            yield [c[:cut] for c in columns]
-    if held is not None and len(held[0]):
-        yield held
-
-
-_OUT = "a bigint, b bigint, token int, place bigint, ord bigint, sig bigint, more bigint, open boolean"
-_NAMES = [f.split(" ")[0] for f in _OUT.split(", ")]
-
-
-def _pair_up(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """Over postings (token, set, place, order, signature[, open]), sorted by token and place; place
-    packs a set's size and the token's position. First round: each set with the earliest that passes,
-    and, of postings in which some set had more, the rows that passed with any. With every: the open sets with all that pass
-    and are not later."""
-    for columns in _groups(batches):
-        token, own, place, order = columns[:4]
-        sig = [c.view(np.uint64) for c in columns[4:6]]  # bits of negative numbers are counted of their absolute value
-        mark = columns[6].astype(bool) if every else np.zeros(len(token), bool)
-        n, pos = place >> 32, place & 0xFFFFFFFF
-        size = len(token)
-        best, best_order = np.full(size, -1), np.full(size, np.iinfo(np.int64).max)
-        several, involved = np.zeros(size, np.int64), np.zeros(size, bool)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        i, step = np.arange(1, size), 1
-        while len(i):
-            j = i - step
-            ok = (token[j] == token[i]) & (n[j] >= threshold * n[i] - _EPS)  # shorter rows are further off still
-            i, j = i[ok], j[ok]
-            hit = mark[i] | mark[j] if every else np.ones(len(i), bool)
-            hit[hit] = _passing(i[hit], j[hit], n, pos, sig, threshold)
-            involved[i[hit]] = involved[j[hit]] = True
-            for x, y in ((i[hit], j[hit]), (j[hit], i[hit])):
-                back = order[y] <= order[x]
-                if every:
-                    back &= mark[x]
-                    out.append((x[back], y[back]))
-                    continue
-                x, y = x[back], y[back]
-                several[x] += 1
-                less = (best[x] < 0) | (order[y] < best_order[x])
-                best[x[less]], best_order[x[less]] = y[less], order[y[less]]
-            step += 1
-            i = i[i >= step]
-        if not every:
-            x = np.flatnonzero(best >= 0)
-            out.append((x, best[x]))
-        a, b = (np.concatenate([p[k] for p in out]) if out else np.empty(0, np.int64) for k in (0, 1))
-        if len(a):
-            none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
-            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b]), *none], _NAMES)
-        if not every and (several > 1).any():
-            dense = involved & np.isin(token, token[several > 1])
-            yield pa.RecordBatch.from_arrays([pa.array(own[dense]), pa.nulls(int(dense.sum()), pa.int64()), pa.array(token[dense]), pa.array(place[dense]), pa.array(order[dense]), *(pa.array(s[dense].view(np.int64)) for s in sig), pa.array(several[dense] > 1)], _NAMES)
+            take = token[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - prefix), prefix)]
+            codes = (K.mix(take) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            bounds_ = pa.array(np.append(0, ends), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds_, pa.array(x)) for x in (codes, blocks[_slot(take)])]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(1).take(pa.array(row[line])), pa.array(np.full(len(line), slab), pa.int64()), pa.array(line, pa.int32()), *(pa.array(x.view(np.int64)) for x in name), pa.array(size, pa.int32()), *(pa.array(x.view(np.int64)) for x in parity), *lists],
+                ["_key", "_slab", "_line", "_s1", "_s2", "_n", "_sig0", "_sig1", "_prefix", "_blocks"],
+            )
+
+    return held.blobs.mapInArrow(trimmed(kernel), f"_key {held.kind}, _slab bigint, _line int, _s1 bigint, _s2 bigint, _n int, _sig0 bigint, _sig1 bigint, _prefix array<int>, _blocks array<int>")
 
 
 def _tokens(rows: pa.RecordBatch, words: K.Words, line: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -232,58 +166,69 @@ def _tokens(rows: pa.RecordBatch, words: K.Words, line: np.ndarray, own: np.ndar
 
 
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """Sets (a) with an earlier set (b) at threshold or more among the pairs. words: (_set, _first,
-    _tokens)."""
+    """Sets (a) with a set (b) at threshold or more among the pairs. words: (_set, _tokens)."""
     one, two = (words.select(*[F.col(c).alias(f"{c}{k}") for c in words.columns]) for k in (1, 2))
     both = pairs.join(one, F.col("a") == F.col("_set1")).join(two, F.col("b") == F.col("_set2"))
     common = F.size(F.array_intersect("_tokens1", "_tokens2"))
-    alike = common >= F.lit(threshold) * (F.size("_tokens1") + F.size("_tokens2") - common) - F.lit(_EPS)
-    return both.where((F.col("_first2") < F.col("_first1")) & alike).select("a").distinct()
+    alike = common >= F.lit(threshold) * (F.size("_tokens1") + F.size("_tokens2") - common) - F.lit(EPS)
+    return both.where(alike).select("a").distinct()
 
 
-def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(_slab, _line) of the lines to remove. docs: as from slabs.numbered."""
-    every = materialise(lines(docs, rarity(docs), threshold), "lines")
+def removed(held: Slabs, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
+    """(_slab, _line) of the lines to remove, without nulls. block: rows of a posting that stay together."""
+    spark = held.blobs.sparkSession
+    rank, words = rarity(held)
+    # a word is in no more lines than it is in the texts, so this bounds its posting
+    most = block or set_join.block_size(int(words.sum()), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    every = materialise(lines(held, rank, -(-words // most), threshold), "lines")
     place = F.struct(F.col("_key").isNull().alias("_none"), "_key", "_slab", "_line")
-    sets = materialise(every.groupBy("_set").agg(F.min(place).alias("_first")), "line-sets")
-    # an order that never puts a later key before an earlier one; ties are settled when pairs are verified
-    number = docs.schema["_key"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    order = F.coalesce(F.col("_key").cast("bigint"), F.lit((1 << 63) - 1)) if number else F.lit(0).cast("bigint")
-    place_of = F.shiftleft(F.col("_n").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint"))
+    least = materialise(every.groupBy("_s1", "_s2").agg(F.min(place).alias("_first")), "line-firsts")
+    # numbers in the order of the first lines: an earlier set has a smaller number
+    sets = least.repartitionByRange("_first").sortWithinPartitions("_first")
+    sets = materialise(sets.select("_s1", "_s2", F.col("_first._slab").alias("_fs"), F.col("_first._line").alias("_fl"), F.monotonically_increasing_id().alias("a")), "line-sets")
+    forget(least)
     # only the earliest line of each set is posted; its sets are one side of the join, so a hot one can be split
-    here = (F.col("_slab") == F.col("_first._slab")) & (F.col("_line") == F.col("_first._line"))
-    firsts = every.join(sets.withColumnRenamed("_set", "_s"), F.col("_set") == F.col("_s")).where(here)
-    posted = firsts.select(F.posexplode("_prefix").alias("pos", "token"), F.col("_set").alias("a"), "_n", order.alias("ord"), F.col("_sig").alias("sig"), F.col("_more").alias("more")).select("token", "a", place_of.alias("place"), "ord", "sig", "more")
-    found = materialise(posted.repartition("token").sortWithinPartitions("token", "place").mapInArrow(trimmed(lambda it: _pair_up(it, threshold, False)), _OUT), "line-candidates")
+    here = every.join(sets, ["_s1", "_s2"]).where((F.col("_slab") == F.col("_fs")) & (F.col("_line") == F.col("_fl")))
+    long = here.select(F.posexplode(F.arrays_zip("_prefix", "_blocks")).alias("pos", "_p"), "a", F.col("_n").alias("n"), F.col("_sig0").alias("sig0"), F.col("_sig1").alias("sig1"))
+    long = long.select(F.col("_p._prefix").alias("token"), F.col("_p._blocks").alias("blocks"), "pos", "a", "n", "sig0", "sig1")
+    dealt = F.when(F.col("blocks") > 1, F.hash("token", block_of(F.col("a"), F.col("blocks")))).otherwise(F.col("token")).alias("token")
+    posted = long.select(dealt, "n", "pos", "a", "sig0", "sig1").repartition("token")
+    # one number as the sort key: Spark sorts it by radix
+    posted = posted.sortWithinPartitions(F.shiftleft(F.col("token").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")))
+    found = materialise(first_round(posted, threshold, 2), "line-candidates")
+    spread = materialise(here.where(F.exists("_blocks", lambda x: x > 1)).select("a", "_n", "_sig0", "_sig1", "_prefix", "_blocks"), "line-spread")
+    spread = spread.select("a", F.col("_n").alias("n"), F.col("_sig0").alias("sig0"), F.col("_sig1").alias("sig1"), F.posexplode(F.arrays_zip("_prefix", "_blocks")).alias("pos", "_p"))
+    spread = spread.select(F.col("_p._prefix").cast("bigint").alias("token"), F.col("_p._blocks").alias("blocks"), "pos", "a", "n", "sig0", "sig1").where("blocks > 1")
     pairs, dense = found.where("b is not null").select("a", "b"), found.where("b is null")
     # the words of all sets that either round may ask for, in one pass over the texts
-    wanted = found.select(F.col("a").alias("_w")).union(pairs.select("b")).distinct().join(sets, F.col("_w") == F.col("_set")).drop("_w")
-    wanted = materialise(wanted, "line-wanted")
-    read = with_texts(docs, wanted.select(F.col("_first._slab").alias("_slab"), F.col("_first._line").alias("_line"), "_set"), ["_line", "_set"], _tokens, "_set bigint, _tokens array<bigint>")
-    words = materialise(wanted.join(read, "_set"), "line-words")
+    wanted = found.select(F.col("a").alias("_w")).union(pairs.select("b")).union(spread.select("a")).distinct().join(sets, F.col("_w") == F.col("a"))
+    texts = with_texts(held, wanted.select(F.col("_fs").alias("_slab"), F.col("_fl").alias("_line"), F.col("a").alias("_set")), ["_line", "_set"], _tokens, "_set bigint, _tokens array<bigint>")
+    texts = materialise(texts, "line-words")
     # the candidate that most postings name first, then the others of what is left
     votes = materialise(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "line-votes")
     likely = votes.groupBy("a").agg(F.max(F.struct("n", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
-    gone = materialise(_verified(likely, words, threshold), "line-matches")
+    gone = materialise(_verified(likely, texts, threshold), "line-matches")
     others = votes.select("a", "b").join(gone, "a", "left_anti").join(likely, ["a", "b"], "left_anti")
-    gone = materialise(gone.union(_verified(others, words, threshold)), "line-matches")
-    open_ = materialise(dense.where("open").select("a").distinct().join(gone, "a", "left_anti").withColumn("still", F.lit(True)), "line-open")
-    if not open_.isEmpty():
-        marked = dense.join(open_, "a", "left").withColumn("still", F.coalesce("still", F.lit(False)))
-        groups = marked.where("still").select(F.col("token").alias("_t")).distinct()
-        again = marked.join(groups, F.col("token") == F.col("_t"), "left_semi").select("token", "a", "place", "ord", "sig", "more", "still").repartition("token").sortWithinPartitions("token", "place")
-        more = again.mapInArrow(lambda it: _pair_up(it, threshold, True), _OUT).select("a", "b").distinct()
-        gone = materialise(gone.union(_verified(more, words, threshold)).distinct(), "line-matches")
-    state = sets.join(gone.withColumn("_gone", F.lit(True)), F.col("_set") == F.col("a"), "left").select(F.col("_set").alias("_s"), "_first", F.coalesce("_gone", F.lit(False)).alias("_gone"))
-    state = materialise(state, "line-states")
-    judged = every.select("_slab", "_line", "_set").join(state, F.col("_set") == F.col("_s"))
-    return judged.where(F.col("_gone") | (F.col("_slab") != F.col("_first._slab")) | (F.col("_line") != F.col("_first._line"))).select("_slab", "_line")
-
-
-def report(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    gone = materialise(gone.union(_verified(others, texts, threshold)), "line-matches")
+    forget(votes)
+    still = dense.where("open").select("a").union(spread.select("a")).distinct().join(gone, "a", "left_anti").select(F.col("a").alias("still"))
+    still = materialise(still, "line-open")
+    if not still.isEmpty():
+        marked = dense.join(still, F.col("a") == F.col("still"), "left").withColumn("open", F.col("still").isNotNull())
+        asked = marked.where("open").select(F.col("token").alias("_t")).distinct()
+        near = marked.join(asked, F.col("token") == F.col("_t"), "left_semi").withColumn("group", F.col("token"))
+        columns = ["group", "n", "pos", "a", "open", "sig0", "sig1"]
+        rows = near.select(columns).union(across(spread, spread.join(still, F.col("a") == F.col("still"), "left_semi"), most).select(columns)).join(texts, F.col("a") == F.col("_set"))
+        rows = rows.select("group", "n", "pos", "a", "open", F.col("_tokens").alias("tokens"), "sig0", "sig1")
+        gone = materialise(gone.union(second_round(rows, threshold, 2).select("a")).distinct(), "line-matches")
+    state = materialise(sets.join(gone.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a"), "left").select(F.col("_s1").alias("_t1"), F.col("_s2").alias("_t2"), "_fs", "_fl", F.col("_a").isNotNull().alias("_gone")), "line-states")
+    judged = every.select("_slab", "_line", "_s1", "_s2").join(state, (F.col("_s1") == F.col("_t1")) & (F.col("_s2") == F.col("_t2")))
+    return judged.where(F.col("_gone") | (F.col("_slab") != F.col("_fs")) | (F.col("_line") != F.col("_fl"))).select("_slab", "_line")
+
+
+def report(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """(key, n_lines, n_removed, removed array<int>): the removed lines of every row, from 0."""
-    base = numbered(docs, text, key)
-    kind = base.schema["_key"].dataType.simpleString()
+    held = stored(docs, text, key)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab, rows, data, offsets in slabs(batches):
@@ -292,8 +237,8 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), whole(pa.concat_arrays([rows.column(1)])), whole(pa.array(n, pa.int32()))], ["_slab", "_keys", "_counts"])
 
-    held = base.mapInArrow(rows_of, f"_slab bigint, _keys array<{kind}>, _counts array<int>")
-    gone = removed(base, threshold).groupBy("_slab").agg(F.collect_list("_line").alias("_lines"))
+    texts = held.blobs.mapInArrow(trimmed(rows_of), f"_slab bigint, _keys array<{held.kind}>, _counts array<int>")
+    gone = removed(held, threshold, block).groupBy("_slab").agg(F.collect_list("_line").alias("_lines"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,15 +251,14 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(line - np.repeat(first[:-1], np.diff(bounds)), pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(np.diff(bounds), pa.int64()), lists], ["_key", "n_lines", "n_removed", "removed"])
 
-    out = held.join(gone, "_slab", "left").select("_keys", "_counts", "_lines").mapInArrow(merged, f"_key {kind}, n_lines bigint, n_removed bigint, removed array<int>")
+    out = texts.join(gone, "_slab", "left").select("_keys", "_counts", "_lines").mapInArrow(merged, f"_key {held.kind}, n_lines bigint, n_removed bigint, removed array<int>")
     return out.withColumnRenamed("_key", key)
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the removed lines; documents that had words and lose them all go. Columns stay."""
-    base = numbered(docs, text, key, docs.columns)
+    held = stored(docs, text, key, docs.columns)
     at = docs.columns.index(text)
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
     def cut(rows: pa.RecordBatch, words: K.Words, line: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin, row = line_bounds(words)
@@ -337,7 +281,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
         columns[at] = pa.compute.if_else(nulls, texts, pa.scalar(None, pa.string()))
         yield pa.RecordBatch.from_arrays(columns, rows.schema.names[3:]).filter(pa.array(alive))
 
-    out = with_texts(base, removed(base, threshold), ["_line"], cut, fields, "left")
+    out = with_texts(held, removed(held, threshold), ["_line"], cut, ", ".join(held.fields), "left")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
