@@ -186,3 +186,28 @@ def _xxh(value: bytes, seed: int, bits: int) -> int:
     for shift, prime in ((15, p2), (13, p3)):
         h = (h ^ h >> shift) * prime & full
     return h ^ h >> 16
+
+
+def _times(a: int, b: int, poly: int = 0xEDB88320) -> int:
+    """Product of two polynomials over GF(2), bits reversed as CRC-32 has them, modulo its polynomial."""
+    out = 0
+    while b:
+        if b & 0x80000000:
+            out ^= a
+        b = b << 1 & 0xFFFFFFFF
+        a = a >> 1 ^ (poly if a & 1 else 0)
+    return out
+
+
+def crc32_join(parts) -> int:
+    """CRC-32 of what the parts (checksum, length) make up in order: a part's checksum moves up by the
+    bytes behind it, which is a product with a power of x."""
+    total = 0
+    for crc, n in parts:
+        shift, square, bits = 0x80000000, 0x40000000, 8 * n  # 1 and x
+        while bits:
+            if bits & 1:
+                shift = _times(shift, square)
+            square, bits = _times(square, square), bits >> 1
+        total = _times(total, shift) ^ crc
+    return total

@@ -23,6 +23,10 @@ class CodecError(ValueError):
     """The bytes are not what the codec can read, or a limit was hit."""
 
 
+class LimitExceeded(CodecError):
+    """More bytes would come out than the limit; no more than that were made."""
+
+
 def deflate(data: bytes, level: int = 6, dictionary: bytes = b"") -> bytes:
     c = zlib.compressobj(level, zlib.DEFLATED, -15, zdict=dictionary) if dictionary else zlib.compressobj(level, zlib.DEFLATED, -15)
     return c.compress(data) + c.flush()
@@ -241,9 +245,56 @@ def compress(codec: str, data: bytes, level: int | None = None) -> bytes:
     return f(data) if level is None else f(data, level)
 
 
-def decompress(codec: str, data: bytes, max_ratio: float | None = None) -> bytes:
-    """max_ratio: an error for output that is larger than that many times the input."""
-    out = CODECS[codec][1](data)
-    if max_ratio is not None and len(out) > max_ratio * max(1, len(data)):
-        raise CodecError(f"compression ratio above {max_ratio}")
+def _drained(make: Callable, data: bytes, limit: int, magic: bytes | None) -> bytes:
+    """Streams one after the other (those that begin with magic; one without it), up to limit bytes."""
+    out, left = [], limit
+    while True:
+        d = make()
+        piece = d.decompress(data, left + 1)
+        if len(piece) > left:
+            raise LimitExceeded(f"more than {limit} bytes")
+        if not d.eof:
+            raise CodecError("the stream is not complete")
+        out.append(piece)
+        left -= len(piece)
+        data = d.unused_data
+        if magic is None or not data.startswith(magic):
+            return b"".join(out)
+
+
+def bounded(codec: str, data: bytes, limit: int) -> bytes:
+    """Decompresses, but never to more than limit bytes: LimitExceeded comes before they are made."""
+    raw2 = [{"id": lzma.FILTER_LZMA2, "dict_size": 64 << 20}]
+    streams = {
+        "deflate": (lambda: zlib.decompressobj(-15), None),
+        "zlib": (lambda: zlib.decompressobj(), None),
+        "gzip": (lambda: zlib.decompressobj(31), b"\x1f\x8b"),
+        "bzip2": (bz2.BZ2Decompressor, b"BZh"),
+        "lzma": (lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE), None),
+        "lzma2": (lambda: lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=raw2), None),
+        "xz": (lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ), b"\xfd7zXZ"),
+    }
+    if codec in streams:
+        return _drained(streams[codec][0], data, limit, streams[codec][1])
+    if codec in ("lz4", "brotli") or codec == "zstd" and zstandard is None:
+        with pa.CompressedInputStream(pa.BufferReader(data), codec) as s:
+            out = s.read(limit + 1)
+    elif codec == "zstd":
+        with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as s:
+            out = s.read(limit + 1)
+        out = out if len(out) > limit else zstd_decompress(data)  # which says whether the last frame is whole
+    else:
+        stated = snappy.stated_length(data) if codec == "snappy" else snappy.read_varint(data)[0] if codec == "snappy_raw" else len(data)
+        if stated > limit:
+            raise LimitExceeded(f"more than {limit} bytes")
+        out = CODECS[codec][1](data)
+    if len(out) > limit:
+        raise LimitExceeded(f"more than {limit} bytes")
     return out
+
+
+def decompress(codec: str, data: bytes, max_ratio: float | None = None, limit: int | None = None) -> bytes:
+    """max_ratio, limit: an error for output that is larger than that many times the input, or than that many
+    bytes, before more than that is made."""
+    most = min([x for x in (limit, None if max_ratio is None else int(max_ratio * max(1, len(data)))) if x is not None], default=None)
+    return CODECS[codec][1](data) if most is None else bounded(codec, data, most)

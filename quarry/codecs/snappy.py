@@ -77,6 +77,11 @@ def chunks(data: bytes):
         at += 4 + size
 
 
+def stated_length(data: bytes) -> int:
+    """Plain bytes that the chunks of a framed stream state."""
+    return sum(len(body) - 4 if kind == 1 else read_varint(body, 4)[0] for kind, body in chunks(data) if kind in (0, 1))
+
+
 def unframe(data: bytes, dictionary: bytes | None = None) -> bytes:
     if not data.startswith(STREAM_ID):
         raise ValueError("no stream identifier")

@@ -34,6 +34,8 @@ def list_entries(data: bytes, archive: str = "", format: str | None = None, mode
 def _status(error: Exception) -> str:
     if isinstance(error, zipfmt.CrcMismatch):
         return "CRC_MISMATCH"
+    if isinstance(error, registry.LimitExceeded):
+        return "LIMIT"
     if isinstance(error, NotImplementedError):
         return "UNSUPPORTED"
     if isinstance(error, PermissionError):
@@ -41,77 +43,82 @@ def _status(error: Exception) -> str:
     return "CORRUPT"
 
 
-def _plain(data: bytes, entries: list[Entry], password: bytes | None) -> Iterator[tuple[Entry, bytes | Exception]]:
+def _plain(data: bytes, entries: list[Entry], password: bytes | None, limit: int | None, max_ratio: float | None) -> Iterator[tuple[Entry, bytes | Exception]]:
     if entries and entries[0]["format"] in ("7-Zip", "CAB", "ISO 9660"):
-        yield from others.contents(data, entries)
+        most = min([x for x in (limit, None if max_ratio is None else int(max_ratio * len(data))) if x is not None], default=None)
+        yield from others.contents(data, entries, most)
         return
     for e in entries:
+        packed = e["compressed_size"]
+        most = min([x for x in (limit, None if max_ratio is None or not packed else int(max_ratio * packed)) if x is not None], default=None)
         try:
+            if most is not None and e["size"] is not None and e["size"] > most and e["format"] in ("ZIP", "TAR", "LZH"):
+                raise registry.LimitExceeded(f"an entry of {e['size']} bytes")
             if e["format"] == "ZIP":
-                yield e, b"" if e["entry_type"] == "Directory" else zipfmt.content(data, e, password)
+                yield e, b"" if e["entry_type"] == "Directory" else zipfmt.content(data, e, password, most)
             elif e["format"] == "TAR":
                 yield e, tar.content(data, e)
             elif e["format"] == "LZH":
                 yield e, lzh.content(data, e)
             else:
-                yield e, registry.decompress(SINGLE[e["format"]], data)
+                yield e, registry.decompress(SINGLE[e["format"]], data, limit=most)
         except Exception as error:  # whatever a damaged payload raises
             yield e, error
 
 
-def rows(
+def rows(data: bytes | None, archive: str = "", **options: object) -> list[Entry]:
+    """All of iter_rows at once."""
+    return list(iter_rows(data, archive, **options))
+
+
+def iter_rows(
     data: bytes | None, archive: str = "", format: str | None = None, mode: str = "auto", lenient: bool = False, content: bool = False, raw: bool = False, verify: bool = False,
     password: bytes | None = None, memory_limit: int | None = None, max_ratio: float | None = None, names: set[str] | None = None, prefixes: tuple[str, ...] = (),
-) -> list[Entry]:
-    """Entry rows. A damaged archive gives one row with its status; a damaged entry keeps its row with
-    status and without content (with it, and a warning, where lenient). names and prefixes pick
-    entries before anything is decoded."""
+) -> Iterator[Entry]:
+    """Entry rows in order, each decoded when it is asked for. A damaged archive gives one row with its
+    status; a damaged entry keeps its row with status and without content (with it, and a warning, where
+    lenient). names and prefixes pick entries before anything is decoded. memory_limit (bytes of an
+    entry, or of the folder that holds it) and max_ratio bound what a decoder makes: LIMIT."""
     if data is None:
-        return []
+        return
     try:
         entries = list_entries(data, archive, format, mode, lenient)
-    except (FormatError, ValueError, IndexError, OverflowError) as error:
+    except Exception as error:  # FormatError, or struct.error and the like of cut-off headers
         e = Entry(None, None, archive=archive, format=format or detect_bytes(data), entry_index=0, status="CORRUPT")
-        return [e.warn("SkippedEntry", str(error), size=len(data))]
-    except Exception as error:  # struct.error and the like of cut-off headers
-        e = Entry(None, None, archive=archive, format=format or detect_bytes(data), entry_index=0, status="CORRUPT")
-        return [e.warn("SkippedEntry", str(error), size=len(data))]
+        yield e.warn("SkippedEntry", str(error), size=len(data))
+        return
     if names is not None or prefixes:
         entries = [e for e in entries if (names is not None and e["name"] in names) or (prefixes and e["name"].startswith(prefixes))]
-    if raw:
-        for e in entries:
-            if e["format"] in ("ZIP", "TAR", "LZH"):
-                at, n = e["data_offset"], e["compressed_size"] or 0
-                e["raw_content"] = data[at : at + n] if at is not None else None
-    if content or verify:
-        for e in entries:
-            if memory_limit is not None and (e["size"] or 0) > memory_limit:
-                e["status"] = "LIMIT"
-        open_ = [e for e in entries if e["status"] == "OK"]
-        for e, plain in _plain(data, open_, password):
-            if isinstance(plain, Exception):
-                e["status"] = _status(plain)
-                if isinstance(plain, zipfmt.CrcMismatch):
-                    e.warn("CrcMismatch", str(plain), plain.expected, plain.computed)
-                    if lenient and content:
-                        e["content"] = plain.plain
-                else:
-                    e.warn("SkippedEntry", str(plain))
-                continue
-            if max_ratio is not None and e["compressed_size"] and len(plain) > max_ratio * e["compressed_size"]:
-                e["status"] = "LIMIT"
-                e.warn("SkippedEntry", f"compression ratio above {max_ratio}", size=len(plain))
-                continue
-            if e["size"] is None:
-                e["size"] = len(plain)
-            if e["crc32"] is None and e["format"] != "ZIP" and e["entry_type"] == "File":
-                e["crc32"] = zlib.crc32(plain)
-            elif e["format"] in ("7-Zip", "GZIP") and e["crc32"] is not None and len(plain) == e["size"] and zlib.crc32(plain) != e["crc32"]:
-                e["status"] = "CRC_MISMATCH"
-                e.warn("CrcMismatch", "checksum mismatch", e["crc32"], zlib.crc32(plain))
-            if content:
-                e["content"] = plain
-    return entries
+    plain_of = _plain(data, [e for e in entries if e["status"] == "OK"], password, memory_limit, max_ratio) if content or verify else iter(())
+    for e in entries:
+        if raw and e["format"] in ("ZIP", "TAR", "LZH"):
+            at, n = e["data_offset"], e["compressed_size"] or 0
+            e["raw_content"] = data[at : at + n] if at is not None else None
+        if (content or verify) and e["status"] == "OK":
+            _filled(*next(plain_of), lenient, content)
+        yield e
+
+
+def _filled(e: Entry, plain: bytes | Exception, lenient: bool, content: bool) -> None:
+    """Puts the outcome of decoding into its row."""
+    if isinstance(plain, Exception):
+        e["status"] = _status(plain)
+        if isinstance(plain, zipfmt.CrcMismatch):
+            e.warn("CrcMismatch", str(plain), plain.expected, plain.computed)
+            if lenient and content:
+                e["content"] = plain.plain
+        else:
+            e.warn("SkippedEntry", str(plain))
+        return
+    if e["size"] is None:
+        e["size"] = len(plain)
+    if e["crc32"] is None and e["format"] != "ZIP" and e["entry_type"] == "File":
+        e["crc32"] = zlib.crc32(plain)
+    elif e["format"] in ("7-Zip", "GZIP") and e["crc32"] is not None and len(plain) == e["size"] and zlib.crc32(plain) != e["crc32"]:
+        e["status"] = "CRC_MISMATCH"
+        e.warn("CrcMismatch", "checksum mismatch", e["crc32"], zlib.crc32(plain))
+    if content:
+        e["content"] = plain
 
 
 def pack(
@@ -120,7 +127,6 @@ def pack(
     """Archive bytes of rows with name, content and, where they matter, entry_type, modified,
     attributes, method, comment, link_target and raw_content (taken as it is where it goes with
     method_id and crc). Rows are taken in order; names are made safe by the caller."""
-    entries = list(entries)
     if format in ("gzip", "xz", "bzip2", "zstd", "lz4", "brotli", "snappy"):
         files = [e for e in entries if e.get("entry_type") != "Directory"]
         if len(files) != 1:

@@ -120,7 +120,7 @@ def _streams(b: _Bytes) -> dict:
     return out
 
 
-def _un7z(data: bytes, s: dict, index: int) -> bytes:
+def _un7z(data: bytes, s: dict, index: int, limit: int | None = None) -> bytes:
     """Decodes a whole folder. Only one coder is supported: copy, LZMA or LZMA2."""
     f, first = s["folders"][index], sum(x["packed"] for x in s["folders"][:index])
     at = 32 + s["pack_at"] + sum(s["pack_sizes"][:first])
@@ -129,6 +129,8 @@ def _un7z(data: bytes, s: dict, index: int) -> bytes:
         raise FormatError("packed stream is cut off")
     if len(f["coders"]) != 1:
         raise NotImplementedError("chains of coders")
+    if limit is not None and f["size"] > limit:
+        raise registry.LimitExceeded(f"a folder of {f['size']} bytes")
     ident, props = f["coders"][0]
     if ident == b"\0":
         return body
@@ -262,16 +264,19 @@ def cab_checksum(data: bytes, seed: int = 0) -> int:
     return seed ^ int.from_bytes(tail, "big") if tail else seed
 
 
-def _uncab(data: bytes, folder: tuple) -> bytes:
+def _uncab(data: bytes, folder: tuple, limit: int | None = None) -> bytes:
     at, blocks, kind, extra = folder
     if kind & 15 not in (0, 1):
         raise NotImplementedError(f"cabinet compression {kind & 15}")
-    out, history = [], b""
+    out, history, made = [], b"", 0
     for _ in range(blocks):
         check, packed, size = struct.unpack_from("<IHH", data, at)
         body = data[at + 8 + extra : at + 8 + extra + packed]
         if len(body) < packed:
             raise FormatError("cabinet is cut off")
+        made += size
+        if limit is not None and made > limit:
+            raise registry.LimitExceeded(f"a folder of more than {limit} bytes")
         if check and cab_checksum(data[at + 4 : at + 8], cab_checksum(body)) != check:
             raise FormatError("cabinet block checksum mismatch")
         if kind & 15:
@@ -400,8 +405,8 @@ def xz_check(data: bytes) -> str:
     return {0: "none", 1: "crc32", 4: "crc64", 10: "sha256"}.get(data[7] & 15, "unknown")
 
 
-def contents(data: bytes, entries: list[Entry]) -> Iterator[tuple[Entry, bytes | Exception]]:
-    """Plain bytes of 7z, CAB and ISO entries; each folder is decoded once."""
+def contents(data: bytes, entries: list[Entry], limit: int | None = None) -> Iterator[tuple[Entry, bytes | Exception]]:
+    """Plain bytes of 7z, CAB and ISO entries; each folder is decoded once, if it keeps to the limit."""
     done: dict[tuple, bytes | Exception] = {}
     for e in entries:
         if e["entry_type"] == "Directory" or e["format"] == "7-Zip" and e["folder_index"] is None:
@@ -414,7 +419,7 @@ def contents(data: bytes, entries: list[Entry]) -> Iterator[tuple[Entry, bytes |
         key = (e["format"], e["folder_index"])
         if key not in done:
             try:
-                done = {key: _un7z(data, e["_streams"], e["folder_index"]) if e["format"] == "7-Zip" else _uncab(data, e["_folders"][e["folder_index"]])}  # one folder is held
+                done = {key: _un7z(data, e["_streams"], e["folder_index"], limit) if e["format"] == "7-Zip" else _uncab(data, e["_folders"][e["folder_index"]], limit)}  # one folder is held
             except (ValueError, NotImplementedError, lzma.LZMAError, zlib.error, IndexError) as error:
                 done = {key: error}
         whole = done[key]

@@ -168,21 +168,18 @@ def enlzma(data: bytes, level: int = 6) -> bytes:
     return b"\x09\x14\x05\x00" + alone[:5] + alone[13:]
 
 
-def unpack(method: int, body: bytes, size: int) -> bytes:
-    if method == 0:
-        return body
-    if method == 8:
-        return registry.inflate(body)
-    if method == 12:
-        return registry.bzip2_decompress(body)
+def unpack(method: int, body: bytes, size: int, limit: int | None = None) -> bytes:
     if method == 14:
+        if limit is not None and size > limit:
+            raise registry.LimitExceeded(f"more than {limit} bytes")
         return unlzma(body, size)
-    if method == 93:
-        return registry.zstd_decompress(body)
-    raise NotImplementedError(f"method {method}")
+    codec = {0: "stored", 8: "deflate", 12: "bzip2", 93: "zstd"}.get(method)
+    if codec is None:
+        raise NotImplementedError(f"method {method}")
+    return registry.decompress(codec, body, limit=limit)
 
 
-def content(data: bytes, e: Entry, password: bytes | None = None) -> bytes:
+def content(data: bytes, e: Entry, password: bytes | None = None, limit: int | None = None) -> bytes:
     """Plain bytes, verified against the CRC-32 (AE-2 entries have none but their own tag)."""
     body, method, checked = raw(data, e), e["method_id"], True
     if e["encrypted"]:
@@ -194,7 +191,7 @@ def content(data: bytes, e: Entry, password: bytes | None = None) -> bytes:
         else:
             check = e["_time"] >> 8 if e["_flags"] & 8 else e["crc32"] >> 24
             body = crypto.zipcrypto_decrypt(body, password, check)
-    plain = unpack(method, body, e["size"])
+    plain = unpack(method, body, e["size"], limit)
     if checked and zlib.crc32(plain) != e["crc32"]:
         raise CrcMismatch(e["crc32"], zlib.crc32(plain), plain)
     return plain

@@ -108,6 +108,16 @@ def brotli_transform(word: Column, prefix: str = "", kind: str = "identity", n:
     return F.concat(F.lit(prefix), inner, F.lit(suffix))
 
 
+def xz_with_check(col: Column, check: Column) -> Column:
+    """An XZ stream with the check of that name: none, crc32, crc64 or sha256."""
+
+    @arrow_udf("binary")
+    def f(v: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([None if b is None or n is None else registry.xz_compress(b, check=n) for b, n in zip(v.to_pylist(), names.to_pylist(), strict=True)], pa.binary())
+
+    return f(col.cast("binary"), check)
+
+
 def xz_check_name(col: Column) -> Column:
     """Which check an XZ stream carries."""
     code = F.conv(F.hex(F.substring(col, 8, 1)), 16, 10).cast("int").bitwiseAND(F.lit(15))

@@ -1,8 +1,8 @@
 """Archives as DataFrames: scan, pack, list, totals, test, tree, convert, add, extract, repair.
 
-A blob is one row, an entry is one row; entries never need the blob again. Packing groups rows by
-archive and sorts inside the group, as an archive is one value; ``volumes`` splits archives that
-would grow too large before they are packed.
+A blob is one row, an entry is one row; entries never need the blob again. An archive is packed in
+volumes of bounded size, each a blob of its own with the archive's name: rows are dealt by archive and a
+hash of the entry's name, so that neither a task nor a blob holds a large archive whole.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,9 @@ from quarry.containers import archive
 from quarry.containers.model import ENTRIES, arrow_schema
 from quarry.functions import entries as E
 from quarry.functions import paths as P
+from quarry.sources.archive import batched
 
-BATCH_BYTES = 32 << 20
+VOLUME_BYTES = 64 << 20
 REPAIR = "archive string, kind string, start bigint, stop bigint, name string, method string, size bigint, status string, content binary, crc32 bigint"
 
 
@@ -27,22 +29,15 @@ def scan(
     verify: bool = False, password: bytes | None = None, memory_limit: int | None = None, max_ratio: float | None = None, names: Iterable[str] | None = None, prefixes: Iterable[str] = (),
 ) -> DataFrame:
     """Entry rows (containers.model.ENTRIES) of a column of archives. Payloads are decoded only with
-    with_content or verify; names and prefixes pick entries before that. Batches hold about
-    BATCH_BYTES of payload."""
+    with_content or verify; names and prefixes pick entries before that. Entries are decoded one by one
+    and leave in batches of about 32 MB of payload."""
     schema, keep = arrow_schema(), None if names is None else set(names)
     options = {"format": format, "mode": mode, "lenient": lenient, "content": with_content, "raw": with_raw, "verify": verify, "password": password, "memory_limit": memory_limit, "max_ratio": max_ratio, "names": keep, "prefixes": tuple(prefixes)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                held, size = [], 0
-                for e in archive.rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or "", **options):
-                    held.append({f: e[f] for f in ENTRIES.names})
-                    size += len(e["content"] or b"") + len(e["raw_content"] or b"")
-                    if size > BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held, size = [], 0
-                if held:
+                for held in batched(archive.iter_rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or "", **options)):
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     return blobs.select(F.col(content), F.col(name).cast("string")).mapInArrow(run, ENTRIES)
@@ -54,26 +49,34 @@ def read(spark, path: str, **options: object) -> DataFrame:
     return scan(files, **options)
 
 
-def pack(rows: DataFrame, format: str, by: str = "archive", order: str = "entry_index", level: int = 6, store_below: int = 0, password: bytes | None = None, encryption: str = "aes256", method: str = "Deflate", sanitise: bool = True) -> DataFrame:
-    """(by, content): one archive blob for each value of ``by``. Rows need name and content and may
-    have any other column of the entry relation. Names are made safe unless told otherwise."""
+def pack(rows: DataFrame, format: str, by: str = "archive", order: str = "entry_index", level: int = 6, store_below: int = 0, password: bytes | None = None, encryption: str = "aes256", method: str = "Deflate", sanitise: bool = True, most: int = VOLUME_BYTES, sizes: DataFrame | None = None) -> DataFrame:
+    """(by, content): archive blobs for each value of ``by``, one unless its payload is over ``most`` bytes:
+    then volumes of about that size, rows of the same ``by``. sizes (by, size): payload bytes, where they are
+    known more cheaply than by a second pass over the rows. Rows need name and content and may have any other
+    column of the entry relation. Names are made safe unless told otherwise."""
     known = [c for c in rows.columns if c in ENTRIES.names and c not in (by, order)]
     slim = rows.select(F.col(by), F.col(order), *[P.sanitise_path(F.col("name")).alias("name") if c == "name" and sanitise else F.col(c) for c in known])
     kind = slim.schema[by].dataType.simpleString()
+    payload = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("content", "raw_content") if c in known]
+    dealt = volumes(slim, by, most, sum(payload[1:], payload[0]), sizes)
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(order, "ascending"), ("name", "ascending")])
-        blob = archive.pack(group.to_pylist(), format, level, store_below, password, encryption, method)
+        at = pa.compute.sort_indices(group, [(order, "ascending"), ("name", "ascending")])
+        each = (r for i in range(0, len(at), 64) for r in group.take(at[i : i + 64]).to_pylist())
+        blob = archive.pack(each, format, level, store_below, password, encryption, method)
         return pa.table({by: group.column(by).slice(0, 1), "content": pa.array([blob], pa.binary())})
 
-    return slim.groupBy(by).applyInArrow(run, f"`{by}` {kind}, content binary")
+    # a number of its own, which adaptive execution keeps: packing is work for the processor, not for the disk
+    dealt = dealt.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), by, "volume")
+    return dealt.groupBy(by, "volume").applyInArrow(run, f"`{by}` {kind}, content binary")
 
 
-def volumes(rows: DataFrame, by: str, most: int, size: Column | None = None) -> DataFrame:
+def volumes(rows: DataFrame, by: str, most: int, size: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """rows with a column ``volume``: archives of more than ``most`` payload bytes fall into several
-    of about that size, by a hash of the name."""
+    of about that size, by a hash of the name. Totals are summed before they are shuffled."""
     size = F.octet_length("content") if size is None else size
-    totals = rows.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / most)).cast("int").alias("_n")).withColumnRenamed(by, "_by")
+    each, size = (rows, size) if sizes is None else (sizes, F.col("size"))
+    totals = each.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(size), F.lit(0)) / most)).cast("int").alias("_n")).withColumnRenamed(by, "_by")
     out = rows.join(totals, F.col(by).eqNullSafe(F.col("_by")))
     return out.withColumn("volume", F.pmod(F.xxhash64("name"), F.col("_n")).cast("int")).drop("_by", "_n")
 
@@ -156,7 +159,7 @@ def convert(blobs: DataFrame, to: str, password: bytes | None = None, **options:
     checked = read_.withColumn("content", F.when(F.col("status") == "OK", F.col("content")).otherwise(F.raise_error(F.concat_ws(": ", F.lit("cannot convert"), "archive", "name", "status")).cast("binary")))
     if to not in ("zip", "tar", "lzh"):
         checked = checked.filter(~E.is_dir(F.col("entry_type")))
-    return pack(checked, to, **options)
+    return pack(checked, to, sizes=scan(blobs, password=password).select("archive", "size"), **options)
 
 
 def add(blobs: DataFrame, rows: DataFrame, format: str, **options: object) -> DataFrame:
@@ -168,7 +171,8 @@ def add(blobs: DataFrame, rows: DataFrame, format: str, **options: object) -> Da
     old = old.withColumn("name", F.when(F.col("encrypted"), F.raise_error(F.concat(F.lit("encrypted entry: "), F.col("name")))).otherwise(F.col("name")))
     new = rows.withColumn("entry_index", F.coalesce(F.col("entry_index"), F.lit(0)) + (1 << 30)) if "entry_index" in rows.columns else rows.withColumn("entry_index", (F.lit(1 << 30) + F.row_number().over(Window.partitionBy("archive").orderBy("name"))).cast("int"))
     both = old.select(*[c for c in old.columns if c not in ("warnings", "extra", "name_raw")]).unionByName(new.withColumn("entry_index", F.col("entry_index").cast("int")), allowMissingColumns=True)
-    return pack(both, format, **options)
+    sizes = scan(blobs).select("archive", "size").union(rows.select("archive", F.octet_length("content").cast("bigint")))
+    return pack(both, format, sizes=sizes, **options)
 
 
 def single_stream(rows: DataFrame, codec: str, content: str = "content", level: int | None = None) -> DataFrame:
@@ -194,7 +198,8 @@ def to_write(files: DataFrame, existing: DataFrame, overwrite: str = "always") -
 
 
 def repair(blobs: DataFrame, content: str = "content", name: str = "archive", format: str | None = None, max_size: int = 64 << 20) -> DataFrame:
-    """Recovered entries and skipped ranges of damaged ZIP and TAR blobs, as rows with a kind."""
+    """Recovered entries and skipped ranges of damaged ZIP and TAR blobs, as rows with a kind. A payload
+    that would decode to more than ``max_size`` bytes is not decoded: its row is RawOnly, without content."""
     names = [f.split(" ")[0] for f in REPAIR.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

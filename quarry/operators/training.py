@@ -128,6 +128,16 @@ def chunked(df: DataFrame, content: str, size: int = 512 << 10, keep: tuple[str,
     return df.select(*keep, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(data, i * size + 1, F.lit(size)))).alias("chunk", content))
 
 
+def join_bytes(lists: Column) -> Column:
+    """The elements of each list of binaries as one, copied once."""
+
+    @F.arrow_udf("binary")
+    def joined(v: pa.Array) -> pa.Array:
+        return pa.array([None if row is None else b"".join(x or b"" for x in row) for row in v.to_pylist()], pa.binary())
+
+    return joined(lists)
+
+
 def compress_chunked(df: DataFrame, content: str, codec: str = "gzip", key: str = "id", size: int = 512 << 10, level: int | None = None) -> DataFrame:
     """(key, content): chunks compressed apart and joined in order. Members, frames and streams of
     gzip, bzip2, xz, zstd, lz4 and snappy may follow one another; raw deflate chunks end in a sync
@@ -164,8 +174,7 @@ def compress_chunked(df: DataFrame, content: str, codec: str = "gzip", key: str
     else:
         raise ValueError(f"{codec} streams cannot be joined; compress chunk rows instead")
     whole = packed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chunk", content))).alias("_c"))
-    body = F.aggregate("_c", F.lit(b""), lambda a, c: F.concat(a, c[content]))
-    return whole.select(key, body.alias(content))
+    return whole.select(key, join_bytes(F.col(f"_c.{content}")).alias(content))
 
 
 def frame_table(df: DataFrame, content: str, key: str, size: int = 256 << 10, quality: int = 6) -> DataFrame:
@@ -182,22 +191,23 @@ def unframe_table(frames: DataFrame, content: str, key: str) -> DataFrame:
 
     plain = frames.withColumn(content, decompress(F.col(content), "brotli"))
     whole = plain.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chunk", content))).alias("_c"))
-    return whole.select(key, F.aggregate("_c", F.lit(b""), lambda a, c: F.concat(a, c[content])).alias(content))
+    return whole.select(key, join_bytes(F.col(f"_c.{content}")).alias(content))
 
 
 def running_crc32(parts: DataFrame, key: str, seq: str, content: str) -> DataFrame:
-    """(key, crc32) over parts in order, one part at a time in memory order."""
-    import zlib
+    """(key, crc32) over parts in order. Each part's checksum is Spark's own, wherever the part is; only
+    (seq, checksum, length) of the parts meet, and are joined as the checksum of the whole."""
+    from quarry.codecs.checksums import crc32_join
 
-    kind = parts.schema[key].dataType.simpleString()
+    data = F.col(content).cast("binary")
+    one = F.struct(F.col(seq).alias("seq"), F.coalesce(F.crc32(data), F.lit(0)).alias("crc"), F.coalesce(F.octet_length(data), F.lit(0)).cast("bigint").alias("n"))
+    whole = parts.select(key, one.alias("_p")).groupBy(key).agg(F.sort_array(F.collect_list("_p")).alias("_l"))
 
-    def run(group: pa.Table) -> pa.Table:
-        crc = 0
-        for b in group.sort_by(seq).column(content).to_pylist():
-            crc = zlib.crc32(b or b"", crc)
-        return pa.table({key: group.column(key).slice(0, 1), "crc32": pa.array([crc], pa.int64())})
+    @F.arrow_udf("bigint")
+    def joined(values: pa.Array) -> pa.Array:
+        return pa.array([crc32_join((r["crc"], r["n"]) for r in row) for row in values.to_pylist()], pa.int64())
 
-    return parts.select(key, seq, F.col(content).cast("binary").alias(content)).groupBy(key).applyInArrow(run, f"`{key}` {kind}, crc32 bigint")
+    return whole.select(key, joined(F.col("_l")).alias("crc32"))
 
 
 __all__ = ["canonical_codes", "chunked", "code_lengths", "coded_size", "compress_chunked", "fixed_length", "frame_table", "histogram", "ngrams", "registry", "running_crc32", "table_shares", "train_dictionary", "unframe_table"]

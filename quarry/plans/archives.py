@@ -37,6 +37,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("role").alias("archive"), F.format_string("c%d/t%d.txt", "conv_id", "turn").alias("name"), F.col("text").cast("binary").alias("content"), (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("entry_index"))
 
 
+def packed(spark: SparkSession, sf_dir: str, format: str, **options: object) -> DataFrame:
+    """The files packed in volumes small enough for every core to have some."""
+    return A.pack(files(spark, sf_dir), format, most=2 << 20, **options)
+
+
 FILES_SQL = "(SELECT lang AS archive, 'src/' || source || '/' || doc_id || '.txt' AS name, text, doc_id FROM documents)"
 TURNS_SQL = "(SELECT role AS archive, 'c' || conv_id || '/t' || turn || '.txt' AS name, text FROM conversations)"
 
@@ -50,34 +55,34 @@ ENTRY_SQL = "SELECT archive, name, strlen(text) AS size, sha256(text) AS digest,
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack one ZIP a language, read it back, verify every checksum, total it."""
-    entries = A.scan(A.pack(files(spark, sf_dir), "zip"), verify=True)
+    entries = A.scan(packed(spark, sf_dir, "zip"), verify=True)
     return entries.groupBy("archive").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"), F.count_if(F.col("status") == "OK").alias("ok"))
 
 
 query("zip_round_trip_totals", f"SELECT archive, count(*) AS files, sum(strlen(text))::BIGINT AS size, count(*) AS ok FROM {FILES_SQL} GROUP BY archive")(flagship)
-query("zip_round_trip_entries", ENTRY_SQL + FILES_SQL)(lambda s, d: digest(A.scan(A.pack(files(s, d), "zip"), with_content=True)))
-query("tar_round_trip_entries", ENTRY_SQL + FILES_SQL)(lambda s, d: digest(A.scan(A.pack(files(s, d), "tar"), with_content=True)))
+query("zip_round_trip_entries", ENTRY_SQL + FILES_SQL)(lambda s, d: digest(A.scan(packed(s, d, "zip"), with_content=True)))
+query("tar_round_trip_entries", ENTRY_SQL + FILES_SQL)(lambda s, d: digest(A.scan(packed(s, d, "tar"), with_content=True)))
 query("lzh_round_trip_entries", ENTRY_SQL + TURNS_SQL)(lambda s, d: digest(A.scan(A.pack(turns(s, d), "lzh"), with_content=True)))
 for _m in ("Stored", "LZMA", "Bzip2", "Zstd"):
     query(f"zip_method_{_m.lower()}", ENTRY_SQL + TURNS_SQL)(lambda s, d, m=_m: digest(A.scan(A.pack(turns(s, d), "zip", method=m), with_content=True)))
 for _e in ("aes256", "traditional"):
     query(f"zip_encrypted_{_e}", ENTRY_SQL + TURNS_SQL)(lambda s, d, e=_e: digest(A.scan(A.pack(turns(s, d), "zip", password=b"secret", encryption=e), with_content=True, password=b"secret")))
 query("zip_wrong_password", "SELECT archive, count(*) AS entries, 0::BIGINT AS opened FROM " + TURNS_SQL + " GROUP BY archive")(lambda s, d: A.scan(A.pack(turns(s, d), "zip", password=b"secret"), with_content=True, password=b"guess").groupBy("archive").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("status") == "OK").alias("opened")))
-query("zip_store_threshold", f"SELECT archive, name, CASE WHEN strlen(text) < 1024 THEN 'Stored' ELSE 'Deflate' END AS method FROM {FILES_SQL} WHERE strlen(text) < 1024 OR strlen(text) > 2000")(lambda s, d: A.scan(A.pack(files(s, d), "zip", store_below=1024)).filter("size < 1024 or size > 2000").select("archive", "name", "method"))
-query("zip_local_headers", f"SELECT archive, name, strlen(text) AS size FROM {FILES_SQL}")(lambda s, d: A.scan(A.pack(files(s, d), "zip"), mode="local_headers").select("archive", "name", "size"))
-query("zip_lookup", f"SELECT archive, name, sha256(text) AS digest FROM {FILES_SQL} WHERE name LIKE 'src/src1/%'")(lambda s, d: A.scan(A.pack(files(s, d), "zip"), with_content=True, prefixes=["src/src1/"]).select("archive", "name", F.sha2("content", 256).alias("digest")))
+query("zip_store_threshold", f"SELECT archive, name, CASE WHEN strlen(text) < 1024 THEN 'Stored' ELSE 'Deflate' END AS method FROM {FILES_SQL}")(lambda s, d: A.scan(packed(s, d, "zip", store_below=1024)).select("archive", "name", "method"))
+query("zip_local_headers", f"SELECT archive, name, strlen(text) AS size FROM {FILES_SQL}")(lambda s, d: A.scan(packed(s, d, "zip"), mode="local_headers").select("archive", "name", "size"))
+query("zip_lookup", f"SELECT archive, name, sha256(text) AS digest FROM {FILES_SQL} WHERE name LIKE 'src/src1/%'")(lambda s, d: A.scan(packed(s, d, "zip"), with_content=True, prefixes=["src/src1/"]).select("archive", "name", F.sha2("content", 256).alias("digest")))
 query("listing_sorted", f"SELECT archive, name, row_number() OVER (PARTITION BY archive ORDER BY strlen(text) DESC, doc_id DESC) AS position FROM {FILES_SQL} WHERE name LIKE 'src/src1%' AND name NOT LIKE '%5.txt'")(
     lambda s, d: A.listing(A.scan(A.pack(files(s, d), "tar")), ["src/src1*"], ["*5.txt"], "size", True).select("archive", "name", F.col("position").cast("bigint").alias("position"))
 )
-query("listing_json", f"SELECT archive, '{{\"name\":\"' || name || '\",\"size\":' || strlen(text) || ',\"compressed_size\":' || strlen(text) || ',\"ratio\":1.0,\"method\":\"Stored\",\"mtime\":0,\"is_dir\":false}}' AS json FROM {FILES_SQL}")(lambda s, d: A.listing_json(A.scan(A.pack(files(s, d), "tar"))).select("archive", "json"))
-query("archive_totals", f"SELECT archive, count(*) AS files, 0::BIGINT AS dirs, sum(strlen(text))::BIGINT AS size, sum(strlen(text))::BIGINT AS compressed_size, 1.0::DOUBLE AS ratio FROM {FILES_SQL} GROUP BY archive")(lambda s, d: A.totals(A.scan(A.pack(files(s, d), "tar"))))
-query("integrity_test", f"SELECT archive, count(*) AS total, count(*) AS ok, 0::BIGINT AS failed FROM {FILES_SQL} GROUP BY archive")(lambda s, d: A.test(A.pack(files(s, d), "zip")).drop("errors"))
-query("tree_nodes", f"SELECT archive, 'src' AS path, 1 AS depth, true AS is_dir FROM {FILES_SQL} GROUP BY archive UNION ALL SELECT archive, 'src/' || split_part(name, '/', 2), 2, true FROM {FILES_SQL} GROUP BY ALL UNION ALL SELECT archive, name, 3, false FROM {FILES_SQL}")(lambda s, d: A.tree(A.scan(A.pack(files(s, d), "zip"))).select("archive", "path", "depth", "is_dir"))
+query("listing_json", f"SELECT archive, '{{\"name\":\"' || name || '\",\"size\":' || strlen(text) || ',\"compressed_size\":' || strlen(text) || ',\"ratio\":1.0,\"method\":\"Stored\",\"mtime\":0,\"is_dir\":false}}' AS json FROM {FILES_SQL}")(lambda s, d: A.listing_json(A.scan(packed(s, d, "tar"))).select("archive", "json"))
+query("archive_totals", f"SELECT archive, count(*) AS files, 0::BIGINT AS dirs, sum(strlen(text))::BIGINT AS size, sum(strlen(text))::BIGINT AS compressed_size, 1.0::DOUBLE AS ratio FROM {FILES_SQL} GROUP BY archive")(lambda s, d: A.totals(A.scan(packed(s, d, "tar"))))
+query("integrity_test", f"SELECT archive, count(*) AS total, count(*) AS ok, 0::BIGINT AS failed FROM {FILES_SQL} GROUP BY archive")(lambda s, d: A.test(packed(s, d, "zip")).drop("errors"))
+query("tree_nodes", f"SELECT archive, 'src' AS path, 1 AS depth, true AS is_dir FROM {FILES_SQL} GROUP BY archive UNION ALL SELECT archive, 'src/' || split_part(name, '/', 2), 2, true FROM {FILES_SQL} GROUP BY ALL UNION ALL SELECT archive, name, 3, false FROM {FILES_SQL}")(lambda s, d: A.tree(A.scan(packed(s, d, "zip"))).select("archive", "path", "depth", "is_dir"))
 query("tree_lines", f"""WITH f AS (SELECT archive, split_part(name, '/', 2) AS dir, split_part(name, '/', 3) AS leaf FROM {FILES_SQL}), dirs AS (SELECT DISTINCT archive, dir FROM f), lastd AS (SELECT archive, max(dir) AS dir FROM dirs GROUP BY archive), lastf AS (SELECT archive, dir, max(leaf) AS leaf FROM f GROUP BY ALL),
 lines AS (SELECT DISTINCT archive, '' AS dir, '' AS leaf, 'src/' AS line FROM f UNION ALL SELECT d.archive, d.dir, '', CASE WHEN l.dir IS NOT NULL THEN '└── ' ELSE '├── ' END || d.dir || '/' FROM dirs d LEFT JOIN lastd l ON d.archive = l.archive AND d.dir = l.dir UNION ALL
 SELECT f.archive, f.dir, f.leaf, CASE WHEN l.dir IS NOT NULL THEN '    ' ELSE '│   ' END || CASE WHEN e.leaf IS NOT NULL THEN '└── ' ELSE '├── ' END || f.leaf FROM f LEFT JOIN lastd l ON f.archive = l.archive AND f.dir = l.dir LEFT JOIN lastf e ON f.archive = e.archive AND f.dir = e.dir AND f.leaf = e.leaf)
-SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY dir, leaf) AS position, line FROM lines""")(lambda s, d: A.tree_lines(A.scan(A.pack(files(s, d), "zip"))).select("archive", F.col("position").cast("bigint").alias("position"), "line"))
-query("convert_zip_tar", ENTRY_SQL + FILES_SQL)(lambda s, d: digest(A.scan(A.convert(A.pack(files(s, d), "zip"), "tar"), with_content=True)))
+SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY dir, leaf) AS position, line FROM lines""")(lambda s, d: A.tree_lines(A.scan(packed(s, d, "zip"))).select("archive", F.col("position").cast("bigint").alias("position"), "line"))
+query("convert_zip_tar", ENTRY_SQL + FILES_SQL)(lambda s, d: digest(A.scan(A.convert(packed(s, d, "zip"), "tar", most=2 << 20), with_content=True)))
 query("convert_tar_lzh", ENTRY_SQL + TURNS_SQL)(lambda s, d: digest(A.scan(A.convert(A.pack(turns(s, d), "tar"), "lzh"), with_content=True)))
 for _f in ("zip", "tar", "lzh"):
     query(f"add_{_f}", f"{ENTRY_SQL} {TURNS_SQL} UNION ALL SELECT archive, 'extra.txt', 5, sha256('hello'), 'OK' FROM {TURNS_SQL} GROUP BY archive")(
@@ -87,7 +92,7 @@ for _f, _codec in (("GZIP", "gzip"), ("XZ", "xz"), ("Bzip2", "bzip2"), ("Zstanda
     query(f"stream_scan_{_codec}", f"SELECT doc_id::VARCHAR AS archive, '{_f}' AS format, strlen(text) AS size, sha256(text) AS digest FROM documents")(
         lambda s, d, f=_f, c=_codec: A.scan(A.single_stream(table(s, d, "documents").select(F.col("doc_id").alias("archive"), F.col("text").cast("binary").alias("content")), c), format=f, with_content=True).select("archive", "format", "size", F.sha2("content", 256).alias("digest"))
     )
-query("extract_plan", f"SELECT archive, 'out/' || archive || '/' || name AS path, sha256(text) AS digest FROM {FILES_SQL}")(lambda s, d: A.extracted(A.scan(A.pack(files(s, d), "zip"), with_content=True), "out").select("archive", "path", F.sha2("content", 256).alias("digest")))
+query("extract_plan", f"SELECT archive, 'out/' || archive || '/' || name AS path, sha256(text) AS digest FROM {FILES_SQL}")(lambda s, d: A.extracted(A.scan(packed(s, d, "zip"), with_content=True), "out").select("archive", "path", F.sha2("content", 256).alias("digest")))
 query("extract_never_overwrite", f"SELECT name AS path FROM {FILES_SQL} WHERE doc_id % 3 <> 0")(lambda s, d: A.to_write(files(s, d).select(F.col("name").alias("path")), files(s, d).filter("entry_index % 3 = 0").select(F.col("name").alias("path")), "never"))
 query("create_dry_run", "SELECT count(*) AS files, sum(strlen(text))::BIGINT AS size FROM documents")(lambda s, d: files(s, d).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).alias("size")))
 query("archive_volumes", f"SELECT archive, count(*) AS files, sum(strlen(text))::BIGINT AS size FROM {FILES_SQL} GROUP BY archive")(

@@ -17,6 +17,7 @@ password, memory_limit, max_ratio, glob, names, prefix, pushdown.
 from __future__ import annotations
 
 import fnmatch
+import itertools
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -56,12 +57,30 @@ class ArchiveFile(InputPartition):
     path: str
 
 
+def batched(entries: Iterator[dict], most: int = 32 << 20) -> Iterator[list[dict]]:
+    """Entry rows in lists of about that many bytes of payload, 256 at most."""
+    held, size = [], 0
+    for e in entries:
+        held.append({n: e[n] for n in ENTRIES.names})
+        size += len(e["content"] or b"") + len(e["raw_content"] or b"")
+        if size > most or len(held) >= 256:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def batch_slices(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: Python objects of a whole batch would be a second copy of it."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def rows_of(path: str, options: dict, names: set[str] | None, prefixes: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     with open(path, "rb") as f:
         data = f.read()
-    entries = archive.rows(data, path, names=names, prefixes=prefixes, **options)
-    for i in range(0, len(entries), 256):
-        yield pa.RecordBatch.from_pylist([{n: e[n] for n in ENTRIES.names} for e in entries[i : i + 256]], arrow_schema())
+    schema = arrow_schema()
+    for held in batched(archive.iter_rows(data, path, names=names, prefixes=prefixes, **options)):
+        yield pa.RecordBatch.from_pylist(held, schema)
 
 
 class ArchiveReader(DataSourceReader):
@@ -136,22 +155,23 @@ class ArchiveWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        rows = [r for batch in iterator for r in batch.to_pylist()]
-        if not rows:
+        rows = (r for batch in iterator for small in batch_slices(batch) for r in small.to_pylist())
+        first = next(rows, None)
+        if first is None:
             return Written([])
         os.makedirs(self.path, exist_ok=True)
         name = f"part-{TaskContext.get().partitionId():05d}.{EXTENSIONS[self.format]}"
         with open(os.path.join(self.path, f".{name}.{TaskContext.get().attemptNumber()}.tmp"), "wb") as f:
-            f.write(archive.pack(rows, self.format, self.level))
+            f.write(archive.pack(itertools.chain([first], rows), self.format, self.level))
         return Written([f.name])
 
     def commit(self, messages: list[Written | None]) -> None:
-        if self.overwrite and os.path.isdir(self.path):
-            for f in list_files(self.path):
-                os.remove(f)
-        for m in messages:
-            for tmp in m.files if m else ():
-                os.replace(tmp, os.path.join(self.path, os.path.basename(tmp)[1:].rsplit(".", 2)[0]))
+        old = set(list_files(self.path)) if self.overwrite and os.path.isdir(self.path) else set()
+        new = {tmp: os.path.join(self.path, os.path.basename(tmp)[1:].rsplit(".", 2)[0]) for m in messages for tmp in (m.files if m else ())}
+        for tmp, target in new.items():
+            os.replace(tmp, target)
+        for f in old - set(new.values()):  # only when the new ones are in place
+            os.remove(f)
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
@@ -162,26 +182,39 @@ class ArchiveWriter(DataSourceArrowWriter):
 
 class FilesWriter(DataSourceArrowWriter):
     """Each row (path, content) as a file under the option ``path``; with ``overwrite`` false existing
-    files stay."""
+    files stay. Files are written under temporary names and renamed when the job commits."""
 
     def __init__(self, options: dict) -> None:
         self.root, self.replace = options["path"].removeprefix("file://"), _true(options.get("overwrite", "true"))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        done = []
+        from pyspark import TaskContext
+
+        done, mark = [], f".{TaskContext.get().taskAttemptId()}.tmp"
         for batch in iterator:
-            for r in batch.to_pylist():
-                parts = [p for p in r["path"].replace("\0", "_").split("/") if p not in ("", ".", "..")]
-                target = os.path.join(self.root, *parts)
-                if not self.replace and os.path.exists(target):
-                    continue
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target + ".tmp", "wb") as f:
-                    f.write(r["content"] or b"")
-                os.replace(target + ".tmp", target)
-                done.append(target)
+            for small in batch_slices(batch):
+                for r in small.to_pylist():
+                    parts = [p for p in r["path"].replace("\0", "_").split("/") if p not in ("", ".", "..")]
+                    target = os.path.join(self.root, *parts)
+                    if not self.replace and os.path.exists(target):
+                        continue
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    with open(target + mark, "wb") as f:
+                        f.write(r["content"] or b"")
+                    done.append(target + mark)
         return Written(done)
 
+    def commit(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            for tmp in m.files if m else ():
+                os.replace(tmp, tmp.rsplit(".", 2)[0])
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            for tmp in m.files if m else ():
+                if os.path.exists(tmp):
+                    os.remove(tmp)
+
 
 class ArchiveSource(DataSource):
     @classmethod

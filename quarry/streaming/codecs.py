@@ -10,20 +10,28 @@ and decoders keep the bytes of a frame that is not complete. A budget bounds wha
 
 from __future__ import annotations
 
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarry.codecs import registry
+from quarry.codecs import lzh, lzw, registry
 
 WINDOW = 32768
 STATE = "window binary, pending binary, crc bigint, size bigint, stage int"
 FLUSH = {"sync": zlib.Z_SYNC_FLUSH, "full": zlib.Z_FULL_FLUSH, "partial": zlib.Z_PARTIAL_FLUSH}
 MARK = b"\0\0\xff\xff"
 FRAMES = ("bzip2", "xz", "zstd", "lz4", "snappy")
+#: Codecs whose streams cannot follow one another: each piece is a stream of its own, and rows keep them apart.
+ROWS: dict[str, tuple] = {
+    "brotli": (lambda b: registry.compress("brotli", b), lambda b: registry.decompress("brotli", b)),
+    "lzw": (lambda b: lzw.compress(b, lzw.TIFF), lambda b: lzw.decompress(b, lzw.TIFF)),
+    "lzh": (lambda b: len(b).to_bytes(8, "little") + lzh.encode(b, "lh5"), lambda b: lzh.decode(b[8:], "lh5", int.from_bytes(b[:8], "little"))),
+}
 
 
 class BudgetExceeded(MemoryError):
@@ -116,6 +124,39 @@ def frame_step(state: tuple | None, data: bytes, codec: str, budget: int = 64 <<
     return (b"", pending, 0, size + len(out), 1), out
 
 
+def lzma2_chunks(data: bytes) -> tuple[list[bytes], bytes]:
+    """(runs of chunks that begin with a dictionary reset and are complete, what is left). The end mark ends
+    the last run; a run is complete when the next one begins or the end mark is there."""
+    runs, begin, at = [], 0, 0
+    while at < len(data):
+        control = data[at]
+        if control == 0:
+            runs.append(data[begin:at])
+            return [r for r in runs if r], data[at + 1 :]
+        if at > begin and (control == 1 or control >= 0xE0):
+            runs.append(data[begin:at])
+            begin = at
+        if at + 6 > len(data) and control >= 0x80 or at + 3 > len(data):
+            break
+        if control >= 0x80:
+            at += (6 if control >= 0xC0 else 5) + int.from_bytes(data[at + 3 : at + 5], "big") + 1
+        elif control in (1, 2):
+            at += 3 + int.from_bytes(data[at + 1 : at + 3], "big") + 1
+        else:
+            raise registry.CodecError(f"LZMA2 control byte {control:#x}")
+    return [r for r in runs if r], data[begin:]
+
+
+def lzma2_step(state: tuple | None, data: bytes, budget: int = 64 << 20) -> tuple[tuple, bytes]:
+    """(next state, plain bytes of all complete runs of chunks)."""
+    _, pending, _, size, _ = state or (b"", b"", 0, 0, 0)
+    runs, pending = lzma2_chunks(pending + data)
+    if len(pending) > budget:
+        raise BudgetExceeded(f"{len(pending)} bytes of an incomplete chunk; the budget is {budget}")
+    out = b"".join(registry.lzma2_decompress(r + b"\0") for r in runs)
+    return (b"", pending, 0, size + len(out), 1), out
+
+
 def _stateful(df: DataFrame, step, key: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
@@ -144,6 +185,10 @@ def compress_stream(df: DataFrame, codec: str = "gzip", key: str = "key", level:
     def step(state: tuple | None, data: bytes, last: bool) -> tuple[tuple, bytes]:
         if len(data) > budget:
             raise BudgetExceeded(f"a piece of {len(data)} bytes; the budget is {budget}")
+        if codec in ROWS:
+            return (b"", b"", 0, 0, 1), ROWS[codec][0](data)
+        if codec == "lzma2":  # each piece resets the dictionary; the last one has the end mark
+            return (b"", b"", 0, 0, 1), (registry.lzma2_compress(data, level)[:-1] if data else b"") + b"\0" * last
         if codec in FRAMES:
             return (b"", b"", 0, 0, 1), registry.compress(codec, data, level if codec in ("bzip2", "xz", "zstd") else None)
         return compress_step(state, data, last, codec, level, flush)
@@ -155,9 +200,32 @@ def decompress_stream(df: DataFrame, codec: str = "gzip", key: str = "key", budg
     """(key, seq, data) with what can be decoded so far; ``last`` with bytes left over is an error."""
 
     def step(state: tuple | None, data: bytes, last: bool) -> tuple[tuple, bytes]:
-        after, out = frame_step(state, data, codec, budget) if codec in FRAMES else decompress_step(state, data, codec, budget)
+        if codec in ROWS:
+            return (b"", b"", 0, 0, 1), ROWS[codec][1](data)
+        after, out = frame_step(state, data, codec, budget) if codec in FRAMES else lzma2_step(state, data, budget) if codec == "lzma2" else decompress_step(state, data, codec, budget)
         if last and after[1]:
             raise registry.CodecError("the stream ends inside a frame")
         return after, out
 
     return _stateful(df, step, key)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which driver and executors share; in local mode, which has one
+    machine, under /tmp where that is unset."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(known or '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def played(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream gives for all input that there is now, written to the shared folder and read back."""
+    path = shared_dir(spark)
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def path_of(frame: DataFrame) -> str:
+    """The folder that holds a frame that played() gave."""
+    return frame.inputFiles()[0].rsplit("/", 1)[0]
