@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import forget, materialise
 
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
@@ -33,20 +33,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges: (u bigint, v bigint). Result: (node, component), component the smallest node that can
-    be reached; nodes without an edge to another do not appear."""
+    be reached; nodes without an edge to another do not appear. Rounds go on until one changes nothing,
+    which takes as many as the logarithm of the longest path, about."""
     edges = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(edges, f"{name}-0")
-    seen = _digest(edges)
-    for i in range(1, rounds + 1):
-        if not seen[0]:
-            break
-        edges = materialise(_small_star(_large_star(edges)), f"{name}-{i}")
-        now = _digest(edges)
+    seen, turn = _digest(edges), 0
+    while seen[0]:
+        turn += 1
+        after = materialise(_small_star(_large_star(edges)), f"{name}-{turn}")
+        forget(edges)
+        edges, now = after, _digest(after)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

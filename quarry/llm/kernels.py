@@ -102,18 +102,28 @@ def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
     return have
 
 
+class Spans:
+    """Hashes of spans of values (unsigned integers), as polynomials modulo the prime 2**61 - 1 by one
+    running sum: two different spans of n values meet by a chance of n / 2**61."""
+
+    def __init__(self, values: np.ndarray, base: np.uint64 = _P) -> None:
+        n = len(values)
+        self.back = powers(base, n + 1, True)
+        terms = _product(_reduced(values.astype(np.uint64, copy=False)), powers(base, n)[:n])
+        self.total = np.zeros(n + 1, np.uint64)
+        low, high = np.cumsum(terms & np.uint64(0xFFFFFFFF)), np.cumsum(terms >> np.uint64(32))
+        high = _reduced(high)
+        self.total[1:] = _reduced(_reduced(low) + _reduced((high << np.uint64(32) & _PRIME) + (high >> np.uint64(29))))
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = _product(_reduced(self.total[ends] + (_PRIME - self.total[starts])), self.back[starts])
+        out += (np.asarray(ends) - starts).astype(np.uint64) * _R
+        return mix(out)
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _P) -> np.ndarray:
-    """Hash of values[start:end] for every span (values: unsigned integers), as a polynomial modulo the
-    prime 2**61 - 1 by one running sum: two different spans of n values meet by a chance of n / 2**61."""
-    n = len(values)
-    terms = _product(_reduced(values.astype(np.uint64, copy=False)), powers(base, n)[:n])
-    total = np.zeros(n + 1, np.uint64)
-    low, high = np.cumsum(terms & np.uint64(0xFFFFFFFF)), np.cumsum(terms >> np.uint64(32))
-    high = _reduced(high)
-    total[1:] = _reduced(_reduced(low) + _reduced((high << np.uint64(32) & _PRIME) + (high >> np.uint64(29))))
-    out = _product(_reduced(total[ends] + (_PRIME - total[starts])), powers(base, n + 1, True)[starts])
-    out += (np.asarray(ends) - starts).astype(np.uint64) * _R
-    return mix(out)
+    """Hash of values[start:end] for every span."""
+    return Spans(values, base).hash(starts, ends)
 
 
 @dataclass

@@ -1,21 +1,24 @@
 """SentencePiece encoding and decoding in NumPy batches.
 
 A text is cut into segments that no piece can cross: before each run of spaces and around
-characters that stand alone in the vocabulary. The distinct segments of a slice are encoded once,
-and segments of equal length advance together:
+characters that stand alone in the vocabulary. The distinct segments of a slice are encoded once (told
+apart by their characters, not by a hash alone), and those of a task's earlier slices are kept, up to
+``MEMO`` of them. Segments of equal length advance together:
 
-* unigram models: Viterbi. For each end position the hashes of the substrings that end there probe
-  the sorted keys of the pieces; a vectorised maximum over their starts stores score and backpointer.
-* BPE models: the library merges the best adjacent pair until none is left, which a Viterbi over the
-  same scores does not reproduce, so equal-length segments merge together: one step merges every
-  segment's best (leftmost) pair and probes the sorted pair keys for the two new neighbours.
+* Viterbi: for each end position the hashes of the substrings that end there probe the sorted keys of
+  the pieces; a vectorised maximum over their starts stores score and backpointer. Of equal scores the
+  longest last piece wins, as in the library.
+* BPE models are defined by merges: the library merges the best adjacent pair until none is left, which
+  a Viterbi over the same scores does not reproduce, so equal-length segments merge together: one step
+  merges every segment's best (leftmost) pair and probes the sorted pair keys for the two new neighbours.
 
-Both keep the vocabulary in sorted arrays that travel with the closure (a few MB, fixed by the
-model). Characters outside the vocabulary fall back to their bytes.
+``load`` gives the model as its file says; ``load(unigram=True)`` reads the same pieces and scores as a
+unigram model. Both keep the vocabulary in sorted arrays that travel with the closure (a few MB, fixed by
+the model). Characters outside the vocabulary fall back to their bytes.
 
 Edges: a null or empty text has no pieces and decodes to the empty text; very long segments (over
-``WIDE`` characters) merge through a heap; the visible-space character U+2581 in a text encodes as a
-space, as in the library, and so does not come back.
+``WIDE`` characters) of BPE models merge through a heap; the visible-space character U+2581 in a text
+encodes as a space, as in the library, and so does not come back; null ids decode to the empty text.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import map_arrow, table
+from quarry.llm.common import map_arrow, table, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE, WIDE = 1 << 19, 48
+SLICE, WIDE, MEMO = 1 << 19, 48, 200_000
 SPACE_MARK = 0x2581
 _LOW = np.float32(-np.inf)
 
@@ -56,7 +59,8 @@ class Vocabulary:
     pool_at: np.ndarray
 
 
-def load(path: str = MODEL) -> Vocabulary:
+def load(path: str = MODEL, unigram: bool | None = None) -> Vocabulary:
+    """The model of a file; unigram: what its pieces and scores are read as (None: as the file says)."""
     from sentencepiece import sentencepiece_model_pb2 as proto
 
     model = proto.ModelProto()
@@ -64,7 +68,7 @@ def load(path: str = MODEL) -> Vocabulary:
         model.ParseFromString(f.read())
     if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces or not model.normalizer_spec.add_dummy_prefix:
         raise ValueError("only models with identity normalisation and a dummy prefix are supported")
-    return vocabulary([p.piece for p in model.pieces], [p.score for p in model.pieces], [p.type for p in model.pieces], model.trainer_spec.model_type == 1)
+    return vocabulary([p.piece for p in model.pieces], [p.score for p in model.pieces], [p.type for p in model.pieces], model.trainer_spec.model_type == 1 if unigram is None else unigram)
 
 
 def vocabulary(pieces: list[str], scores: list[float], types: list[int], unigram: bool) -> Vocabulary:
@@ -186,22 +190,29 @@ def merge_long(v: Vocabulary, symbols: list[int]) -> list[int]:
 
 
 def viterbi(v: Vocabulary, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unigram segmentation of segments of one length (rows of code points): (ids padded at the
-    end, how many). A single character that is no piece costs the lowest score less 10."""
+    """Best segmentation of segments of one length (rows of code points) by summed scores: (ids padded at
+    the end, how many). A single character that is no piece costs the lowest score less 10."""
     n, width = chars.shape
-    flat = np.ascontiguousarray(chars).ravel()
-    row = np.arange(n) * width
+    spans = K.Spans(np.ascontiguousarray(chars).ravel())
+    row = np.arange(n)[:, None] * width
     floor = np.float32((v.scores[v.string_ids].min() if len(v.string_ids) else 0) - 10)
-    best = np.full((n, width + 1), _LOW, np.float32)
-    back, piece = np.zeros((n, width + 1), np.int64), np.full((n, width + 1), -1, np.int64)
-    best[:, 0] = 0
+    longest = min(v.longest, width)
+    # pieces[k]: the piece of k + 1 characters that begins at each place, or -1
+    pieces = []
+    for size in range(1, longest + 1):
+        at = row + np.arange(width - size + 1)
+        pieces.append(_probe(v.string_keys, v.string_ids, spans.hash(at.ravel(), at.ravel() + size)).reshape(at.shape))
+    worth = [np.where(p >= 0, v.scores[p], floor if k == 0 else _LOW) for k, p in enumerate(pieces)]
+    best = np.zeros((n, width + 1), np.float32)
+    back, piece = np.zeros((n, width + 1), np.int64), np.zeros((n, width + 1), np.int64)
+    each = np.arange(n)
     for end in range(1, width + 1):
-        for start in range(end - 1, max(-1, end - 1 - v.longest), -1):
-            ids = _probe(v.string_keys, v.string_ids, K.span_hash(flat, row + start, row + end))
-            score = np.where(ids >= 0, v.scores[ids], floor if end - start == 1 else _LOW) + best[:, start]
-            better = score > best[:, end]
-            best[better, end], back[better, end] = score[better], start
-            piece[better, end] = np.where(ids >= 0, ids, -2 - chars[:, start])[better]
+        sizes = np.arange(min(longest, end), 0, -1)  # long pieces first: they win ties
+        score = np.stack([worth[k - 1][:, end - k] + best[:, end - k] for k in sizes], 1)
+        top = np.argmax(score, 1)
+        best[:, end], back[:, end] = score[each, top], end - sizes[top]
+        found = np.stack([pieces[k - 1][:, end - k] for k in sizes], 1)[each, top]
+        piece[:, end] = np.where(found >= 0, found, -2 - chars[:, end - 1])
     out, sizes, at = np.zeros((n, width), np.int64), np.zeros(n, np.int64), np.full(n, width)
     while (at > 0).any():
         live = np.flatnonzero(at > 0)
@@ -233,9 +244,69 @@ def _segments(v: Vocabulary, text: np.ndarray, first: np.ndarray) -> tuple[np.nd
     return at[:-1], at[1:]
 
 
-def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each different segment, one of its places, which of them every segment is)."""
+    hashes = K.span_hash(text, starts, ends)
+    keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    wrong = _unequal(text, starts, ends - starts, text, starts[one][which], (ends - starts)[one][which])
+    if len(wrong):  # segments that only share their hash are told apart by their characters
+        extra: dict[bytes, int] = {}
+        more = []
+        for i in wrong.tolist():
+            name = text[starts[i] : ends[i]].tobytes()
+            if name not in extra:
+                extra[name] = len(one) + len(more)
+                more.append(i)
+            which[i] = extra[name]
+        one, keys = np.append(one, more), np.append(keys, hashes[more])
+    return keys, one, which
+
+
+def _unequal(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Segments that are not the same as their counterparts, character by character."""
+    even = np.minimum(sizes, lengths)
+    differ = np.concatenate(([0], np.cumsum(text[_ragged(starts, even)] != other[_ragged(at, even)])))
+    ends = np.cumsum(even)
+    return np.flatnonzero((sizes != lengths) | (differ[ends] > differ[ends - even]))
+
+
+class Memo:
+    """Segments that a task has encoded, by hash and characters."""
+
+    def __init__(self) -> None:
+        self.keys, self.at, self.size, self.chars = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.where, self.length, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, keys: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The entry of each segment, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        wrong = _unequal(text, starts[hit], sizes[hit], self.chars, self.at[at[hit]], self.size[at[hit]])
+        out = np.full(len(keys), -1)
+        out[hit] = at[hit]
+        out[hit[wrong]] = -1
+        return out
+
+    def add(self, keys: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        short = np.flatnonzero(sizes <= WIDE)  # long ones do not come back
+        keys, starts, sizes, where, length = keys[short], starts[short], sizes[short], where[short], length[short]
+        if len(self.keys) + len(keys) > MEMO:
+            self.__init__()
+        at, place = len(self.chars) + np.cumsum(sizes) - sizes, len(self.ids) + np.cumsum(length) - length
+        self.chars, self.ids = np.concatenate((self.chars, text[_ragged(starts, sizes)])), np.concatenate((self.ids, ids[_ragged(where, length)]))
+        keys = np.concatenate((self.keys, keys))
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        for name, new in (("at", at), ("size", sizes), ("where", place), ("length", length)):
+            setattr(self, name, np.concatenate((getattr(self, name), new))[order])
+
+
+def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all rows, row bounds) of UTF-8 texts."""
     rows = len(offsets) - 1
+    memo = memo if memo is not None else Memo()
     if not len(data):
         return np.empty(0, np.int64), np.zeros(rows + 1, np.int64)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4").astype(np.int64)
@@ -246,10 +317,31 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     text = np.insert(points, lead[held], SPACE_MARK)
     first = np.append(lead[held] + np.arange(len(held)), len(text))
     starts, ends = _segments(v, text, first)
-    hashes = K.span_hash(text, starts, ends)
-    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    keys, one, which = distinct(text, starts, ends)
     s, size = starts[one], (ends - starts)[one]
-    chunks, where, length, at = [], np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), 0
+    entry = memo.find(keys, text, s, size)
+    known = entry >= 0
+    # the ids that this slice needs are copied out, so that the memo may be emptied
+    length = np.zeros(len(one), np.int64)
+    length[known] = memo.length[entry[known]]
+    where = np.cumsum(length) - length
+    chunks = [memo.ids[_ragged(memo.where[entry[known]], length[known])]]
+    fresh = np.flatnonzero(~known)
+    if len(fresh):
+        pool, at, n = _encoded(v, text, s[fresh], size[fresh])
+        memo.add(keys[fresh], text, s[fresh], size[fresh], at, n, pool)
+        where[fresh], length[fresh] = at + len(chunks[0]), n
+        chunks.append(pool)
+    pool, n = np.concatenate(chunks), length[which]
+    total = np.concatenate(([0], np.cumsum(n)))
+    bounds = np.zeros(rows + 1, np.int64)
+    bounds[held + 1] = np.diff(total[np.searchsorted(starts, first)])
+    return pool[_ragged(where[which], n)], np.cumsum(bounds)
+
+
+def _encoded(v: Vocabulary, text: np.ndarray, s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, where each segment's begin, how many) of different segments."""
+    chunks, where, length, at = [], np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), 0
     for width in np.unique(size):
         mine = np.flatnonzero(size == width)
         if width > WIDE and not v.unigram:
@@ -259,22 +351,14 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
                 chunks.append(got)
                 where[i], length[i], at = at, len(got), at + len(got)
             continue
-        for part in np.array_split(mine, max(1, len(mine) * int(width) // (1 << 20))):
+        for part in np.array_split(mine, max(1, len(mine) * int(width) // (1 << 18))):
             chars = text[s[part][:, None] + np.arange(width)]
             got, n = viterbi(v, chars) if v.unigram else merge(v, _symbols(v, chars))
             mask = np.arange(width)[None, :] < n[:, None]
             chunks.append(got[mask])
             where[part], length[part] = at + np.cumsum(n) - n, n
             at += int(n.sum())
-    pool = np.concatenate(chunks)
-    pool, where, length = _fall_back(v, pool, where, length)
-    n = length[which]
-    flat = pool[_ragged(where[which], n)]
-    total = np.concatenate(([0], np.cumsum(n)))
-    bounds = np.zeros(rows + 1, np.int64)
-    row_of = np.searchsorted(starts, first)
-    bounds[held + 1] = np.diff(total[row_of])
-    return flat, np.cumsum(bounds)
+    return _fall_back(v, np.concatenate(chunks), where, length)
 
 
 def _symbols(v: Vocabulary, chars: np.ndarray) -> np.ndarray:
@@ -314,28 +398,35 @@ def decode(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarr
     return np.delete(data, front), offsets - np.concatenate(([0], np.cumsum(drop)))[offsets]
 
 
-def _kernel(v: Vocabulary):
-    def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in K.slices(batch, "_text", SLICE):
-            ids, bounds = encode(v, data, offsets)
-            back, at = decode(v, ids, bounds)
-            if len(back) == len(data) and (back == data).all() and (at == offsets).all():
-                same = np.ones(rows.num_rows, bool)
-            else:
-                same = np.array([back[at[i] : at[i + 1]].tobytes() == data[offsets[i] : offsets[i + 1]].tobytes() for i in range(rows.num_rows)])
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], lists, pa.array(np.diff(bounds), pa.int64()), pa.array(same)], [*rows.schema.names[1:], "ids", "n_tokens", "round_trip"])
-
-    return kernel
+def _same(data: np.ndarray, offsets: np.ndarray, back: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows whose bytes are equal."""
+    if len(back) == len(data) and (back == data).all() and (at == offsets).all():
+        return np.ones(len(offsets) - 1, bool)
+    return np.array([back[at[i] : at[i + 1]].tobytes() == data[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)])
 
 
-def tokens(docs: DataFrame, v: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def tokens(docs: DataFrame, v: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("ids", "n_tokens", "round_trip"), others: dict[tuple[str, str, str], Vocabulary] | None = None) -> DataFrame:
     """(keep..., ids array<int>, n_tokens, round_trip): the pieces of every whole text, and whether
-    decoding them gives the text back byte for byte."""
-    slim = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "_text")
-    out = map_arrow(slim, _kernel(v), f"{fields}, ids array<int>, n_tokens bigint, round_trip boolean")
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    decoding them gives the text back byte for byte. others: more of the like by other vocabularies, from
+    the same pass over the texts."""
+    slim = docs.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "_text"]
+    every = {names: v, **(others or {})}
+    for ids, size, same in every:
+        fields += [f"`{ids}` array<int>", f"`{size}` bigint", f"`{same}` boolean"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos = {n: Memo() for n in every}
+        for batch in batches:
+            for rows, data, offsets in K.slices(batch, "_text", SLICE):
+                columns = list(rows.columns[1:])
+                for n, vocabulary_ in every.items():
+                    ids, bounds = encode(vocabulary_, data, offsets, memos[n])
+                    same = _same(data, offsets, *decode(vocabulary_, ids, bounds))
+                    columns += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(bounds), pa.int64()), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names[1:], *(x for n in every for x in n)])
+
+    return slim.mapInArrow(trimmed(run), ", ".join(fields)).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def texts(encoded: DataFrame, v: Vocabulary, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -356,4 +447,6 @@ def texts(encoded: DataFrame, v: Vocabulary, ids: str = "ids", keep: tuple[str,
 
 
 def query(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
-    return tokens(table(spark, sf_dir, "documents"), load(model))
+    """The model's own encoding, and the Viterbi over its pieces and scores."""
+    best = ("viterbi_ids", "n_viterbi", "viterbi_round_trip")
+    return tokens(table(spark, sf_dir, "documents"), load(model), others={best: load(model, unigram=True)})

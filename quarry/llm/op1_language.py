@@ -13,12 +13,14 @@ An extra hypothesis, "und", spreads evenly over all trigrams and takes texts in
 A document is rejected if "und" wins, if the winner is below ``min_confidence``, or if it has no
 letters.
 
-The trigram model is fitted on a bounded sample of labelled rows (``sample_rows``, 20,000: the rows
-whose hashed id falls under a threshold); likelihoods, counts and priors cover every row.
+The trigram model is fitted on a bounded sample of labelled rows: ``sample_rows`` (5,000) of each
+label, or all that it has, are expected among its different texts, chosen by a hash of the text. So every
+label is fitted at every size, and rows that repeat count once. The model holds 256 KB for each language,
+however many rows there are; likelihoods, counts and priors cover every row.
 
 Edges: null or empty texts have no letters and are rejected (their language is the prior's);
 null declarations, suffixes and hosts are evidence classes of their own; repeated rows count as
-they stand; an empty table, or one without any label, gives und for every row.
+they stand; null keys stay null; an empty table, or one without any label, gives und for every row.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import map_arrow, materialise, table
+from quarry.llm.common import map_arrow, materialise, table, trimmed
 from quarry.llm.slabs import numbered
 
-SAMPLE_ROWS, MAX_LANGUAGES, CODES = 20_000, 64, 1 << 16
+SAMPLE_ROWS, CODES, HELD = 5_000, 1 << 16, 32
 TEMPER, MIN_CONFIDENCE = 0.3, 0.6
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
@@ -61,6 +64,13 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for label, seen in total.items():
+            hit = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(seen[hit], pa.int64())], ["label", "code", "n"])
+        total.clear()
+
     for batch in batches:
         labels = batch.column(1).to_pylist()
         at = 0
@@ -70,34 +80,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = slice(int(offsets[i]), max(int(offsets[i]), int(offsets[i + 1]) - 2))
                 seen = np.bincount(code[part][valid[part]], minlength=CODES)
                 total[labels[at + i]] = total.get(labels[at + i], 0) + seen
+                if len(total) > HELD:  # tables of a few labels at a time
+                    yield from out()
             at += rows.num_rows
-    for label, seen in total.items():
-        hit = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([label] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(seen[hit], pa.int64())], ["label", "code", "n"])
+    yield from out()
 
 
-def fit(labelled: DataFrame, text: str, label: str, key: str, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of every trigram code, from a bounded sample."""
-    rows = labelled.where(F.col(label).isNotNull())
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    counted = chosen.select(F.col(text).alias("_text"), F.col(label).cast("string").alias("_label")).mapInArrow(_count, "label string, code int, n bigint")
-    sums = counted.groupBy("label", "code").agg(F.sum("n").alias("n"))  # a row for each code and label at most
-    table_ = sums.toPandas()
-    if table_.empty:
-        return [], np.zeros((0, CODES), np.float32)
-    languages = sorted(table_.groupby("label")["n"].sum().sort_values(ascending=False).index[:MAX_LANGUAGES])
-    logs = np.empty((len(languages), CODES), np.float32)
-    for i, lang in enumerate(languages):
-        part = table_[table_["label"] == lang]
+def _logs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(label, log probabilities) from (label, list of (code, n))."""
+    for label, codes, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
         seen = np.full(CODES, 0.05)
-        seen[part["code"].to_numpy()] += part["n"].to_numpy()
-        logs[i] = np.log(seen / seen.sum())
-    return languages, logs
+        seen[codes.values.to_numpy()] += n.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([np.log(seen / seen.sum()).astype("<f4").tobytes()], pa.binary())], ["label", "logs"])
+
+
+def sample(labelled: DataFrame, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(_text, _label): about sample_rows different texts of each label, or all of them."""
+    rows = labelled.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{label}`").cast("string").alias("_label")).where("_text is not null and _label is not null")
+    shares = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_label").alias("_l"), F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("_n")).alias("_share"))
+    hashed = rows.withColumn("_h", F.xxhash64("_text", "_label"))
+    chosen = hashed.join(shares, F.col("_label") == F.col("_l")).where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * F.lit(float(1 << 30)))
+    return chosen.select("_text", "_label", "_h").dropDuplicates(["_label", "_h"]).drop("_h")
+
+
+def fit(labelled: DataFrame, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and their log probabilities of every trigram code, from a bounded sample."""
+    counted = sample(labelled, text, label, sample_rows).mapInArrow(trimmed(_count), "label string, code int, n bigint")
+    sums = counted.groupBy("label", "code").agg(F.sum("n").alias("n"))  # CODES rows for each label at most
+    lists = sums.groupBy("label").agg(F.collect_list(F.struct("code", "n")).alias("c")).select("label", "c.code", "c.n")
+    found = sorted((r["label"], r["logs"]) for r in map_arrow(lists, _logs, "label string, logs binary").collect())  # 256 KB for each language
+    return [x for x, _ in found], np.array([np.frombuffer(x, "<f4") for _, x in found]).reshape(-1, CODES)
 
 
-def _score_kernel(logs: np.ndarray):
+def _score_kernel(model: Broadcast):
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        logs = model.value
         for rows, data, offsets in K.slices(batch, "_text"):
             code, valid = trigrams(data, offsets)
             code = code[valid]
@@ -131,15 +148,16 @@ def identify(
     numbers = F.monotonically_increasing_id() if rows is None else F.col(rows)
     slim = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *[(none if c is None else c.cast("string")).alias(a) for c, a in ((declared, "_declared"), (suffix, "_suffix"), (host, "_host"))], numbers.alias("_row"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "_text")
-    scored = materialise(map_arrow(slim, _score_kernel(logs), f"{kept}, _grams bigint, _logs array<double>").withColumn("_first", F.when(F.col("_grams") > 0, _argmax(F.col("_logs")))), "language")
+    scored = materialise(map_arrow(slim, _score_kernel(docs.sparkSession.sparkContext.broadcast(logs)), f"{kept}, _grams bigint, _logs array<double>").withColumn("_first", F.when(F.col("_grams") > 0, _argmax(F.col("_logs")).cast("bigint"))), "language")
     size = len(names)
     # one aggregation, rolled up: host -> suffix -> all; declarations apart
     counts = scored.where("_first is not null").groupBy("_suffix", "_host", "_declared", "_first").agg(F.count(F.lit(1)).alias("_n"))
     counts = materialise(counts, "language-counts")
 
     def levels(*by: str) -> DataFrame:
-        each = [F.sum(F.when(F.col("_first") == i, F.col("_n")).otherwise(0)) for i in range(size)]
-        return counts.groupBy(*by).agg(F.array(*each).alias("_c"), F.sum("_n").alias("_t"))
+        each = counts.groupBy(*by, "_first").agg(F.sum("_n").alias("_n"))
+        found = each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_first", "_n"))).alias("_m"), F.sum("_n").alias("_t"))
+        return found.select(*by, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i.cast("bigint")), F.lit(0))).alias("_c"), "_t")
 
     world = levels().first()
     total = float(world["_t"] or 0)
@@ -169,7 +187,7 @@ def identify(
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
-    return identify(docs, fit(docs, "text", "lang", "doc_id"), declared=F.col("lang"), host=F.col("source"))
+    return identify(docs, fit(docs, "text", "lang"), declared=F.col("lang"), host=F.col("source"))
 
 
 def keep_known(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang", host: str = "source") -> DataFrame:
@@ -177,7 +195,7 @@ def keep_known(docs: DataFrame, text: str = "text", key: str = "doc_id", label:
     the join, broadcast where their file is small enough for the session's threshold."""
     base = numbered(docs, text, key, docs.columns)
     named = lambda c: F.col(f"c{docs.columns.index(c)}")
-    found = identify(base, fit(docs, text, label, key), "_text", "_key", declared=named(label), host=named(host), rows="_row")
+    found = identify(base, fit(docs, text, label), "_text", "_key", declared=named(label), host=named(host), rows="_row")
     gone = materialise(found.where(~F.coalesce("kept", F.lit(False))).select(F.col("_row").alias("_gone")), "language-gone")
     return base.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
@@ -192,5 +210,5 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&[a-z#0-9]+;", " ")
     host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1))
     page = table(spark, sf_dir, "pages").select("page_id", plain.alias("text"), F.lower(F.nullif(F.regexp_extract("html", r'(?i)<html[^>]*\blang="([a-z]+)', 1), F.lit(""))).alias("declared"), host.alias("host"))
-    found = identify(page, fit(docs, "text", "lang", "doc_id"), key="page_id", declared=F.col("declared"), suffix=F.element_at(F.split("host", r"\."), -1), host=F.col("host"))
+    found = identify(page, fit(docs, "text", "lang"), key="page_id", declared=F.col("declared"), suffix=F.element_at(F.split("host", r"\."), -1), host=F.col("host"))
     return found.drop("_row")

@@ -1,13 +1,12 @@
 """SimHash near-duplicate groups by a byte-position inverted index with count filtering.
 
-Fingerprints within 3 bits share at least 5 of their 8 positional bytes. The index therefore posts a
-fingerprint under compound postings: every choice of 5 (position, byte) entries, so that a pair meets
-in a posting exactly if it shares the guaranteed minimum of positional bytes. Inside a posting the
-shared bytes are tallied again and pairs that reach the minimum are verified by their bits.
+Fingerprints within 3 bits share at least 5 of their 8 positional bytes. The index posts a fingerprint
+under every choice of 4 (position, byte) entries: single bytes would make postings of a 256th of all
+fingerprints. Pairs that meet have 4 bytes in common; the bytes they share are tallied, pairs that do not
+reach the guaranteed 5 are dropped, and the others are verified by their bits.
 
-Exact copies collapse first: only distinct fingerprints are indexed. A posting of 5 fixed bytes
-holds 2**24 distinct fingerprints at most, and one with many gives a spanning forest (each member
-is linked once), never all its pairs; components follow from the links.
+Exact copies collapse first: only distinct fingerprints are indexed. A posting gives a spanning forest
+(each member is linked once), never all its pairs; components follow from the links.
 
 Edges: a null or empty text, or one of separators alone, has fingerprint zero and is linked like any
 other; repeated rows are documents of their own; a null doc_id is never the smallest of its group
@@ -26,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
+from quarry.llm import near_copies
 from quarry.llm.common import map_arrow, materialise, table, with_row
 from quarry.llm.components import components
-from quarry.llm.slabs import numbered
+from quarry.llm.set_join import groups as whole_groups
 
 SHINGLE, BITS, SEED = 3, 3, 42
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -39,23 +39,18 @@ _SHIFTS = np.arange(64, dtype=np.uint64)
 def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """64-bit SimHash of every row of a slice."""
     words = K.words_of(_LOWER[data], offsets)
-    sizes, n_words = words.ends - words.starts, words.counts
+    n_words = words.counts
     rows = len(offsets) - 1
     out = np.zeros(rows, np.uint64)
-    if not len(sizes):
+    if not len(words.starts):
         return out
-    # the words joined by single spaces: a shingle is one run of bytes
-    ends = np.cumsum(sizes + 1)
-    joined = np.full(ends[-1], 32, np.uint8)
-    starts = ends - sizes - 1
-    joined[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)] = words.data[_solid(words)]
-    raw = joined.tobytes()
+    raw, starts, ends = words.joined()  # a shingle is one run of bytes
     take = np.minimum(n_words, k)
     count = np.where(n_words > 0, n_words - take + 1, 0)
     first = np.repeat(words.first[:-1], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     last = first + np.repeat(take, count) - 1
     digest = xxhash.xxh64_intdigest
-    hashed = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(starts[first].tolist(), (ends[last] - 1).tolist(), strict=True)), np.uint64, len(first))
+    hashed = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(first))
     held = np.flatnonzero(count)
     at = (np.cumsum(count) - count)[held]
     for bit in _SHIFTS:
@@ -64,11 +59,6 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> np.
     return out
 
 
-def _solid(words: K.Words) -> np.ndarray:
-    """Positions of the bytes of all words, in order."""
-    return np.flatnonzero(~K.SPACE[words.data])
-
-
 def _kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in K.slices(batch, "_text"):
         yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(fingerprints(data, offsets).view(np.int64))], [*rows.schema.names[1:], "_fp"])
@@ -93,7 +83,7 @@ def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
         while queue and len(left):
             x = queue.pop()
             diff = left ^ x
-            near = (shared_bytes(diff) >= 8 - bits) & (popcount(diff) <= bits)
+            near = _near(diff, bits)
             if near.any():
                 hit = left[near]
                 links += [(int(x), int(y)) for y in hit]
@@ -103,7 +93,7 @@ def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
 
 
 def _forest_by_probes(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """The same for large postings: members differ in three bytes only, so the at most 2,324
+    """The same for large postings: members differ in four bytes only, so the at most 5,488
     neighbours of each are looked up in the sorted posting, many members at a time."""
     spread = np.bitwise_or.reduce(fps ^ fps[0])
     free = [np.uint64(1) << b for b in _SHIFTS if spread >> b & np.uint64(1)]
@@ -131,36 +121,29 @@ def _forest_by_probes(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 def _linked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Links inside each posting; rows come sorted by posting, which may span batches."""
-    held_key, held = None, np.empty(0, np.uint64)
-
-    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        both = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
-
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        fps = batch.column(1).to_numpy().view(np.uint64)
-        if held_key is not None:
-            keys, fps = np.concatenate((np.full(len(held), held_key, np.int64), keys)), np.concatenate((held, fps))
-        if not len(keys):
-            continue
-        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        held_key, held = keys[-1], fps[cut[-1] :]
+    for batch in whole_groups(batches):
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        cut = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
         sizes = np.diff(cut)
         two = cut[:-1][sizes == 2]
-        diff = fps[two] ^ fps[two + 1]
-        near = (shared_bytes(diff) >= 8 - bits) & (popcount(diff) <= bits)
+        near = _near(fps[two] ^ fps[two + 1], bits)
         links = list(zip(fps[two][near].tolist(), fps[two + 1][near].tolist(), strict=True))
         for start, size in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             links += forest(fps[start : start + size], bits)
         if links:
-            yield out(links)
-    if len(held) > 1 and (links := forest(held, bits)):
-        yield out(links)
+            both = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+
+def _near(diff: np.ndarray, bits: int) -> np.ndarray:
+    """The count filter, then the bits of what it leaves."""
+    out = shared_bytes(diff) >= 8 - bits
+    out[out] = popcount(diff[out]) <= bits
+    return out
 
 
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, bits: int = BITS, rows: str | None = None) -> DataFrame:
-    """(_row, key, fingerprint, component_id, _part): component_id is the smallest key in reach, _part
+    """(_row, key, fingerprint, component_id, _part), one row per row of docs: component_id is the smallest key in reach, _part
     a number of the component that holds even where keys repeat."""
     slim = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *[F.col(r).alias("_row") for r in [rows] if r])
     slim = slim if rows else with_row(slim)
@@ -168,7 +151,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     kernel = _kernel if shingle == SHINGLE else _kernel_of(shingle)
     marked = materialise(map_arrow(slim, kernel, f"_key {kind}, _row bigint, _fp bigint"), "simhash")
     distinct = materialise(marked.groupBy("_fp").agg(F.min("_key").alias("_least")), "simhash-distinct")
-    masks = [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(8), 8 - bits)]
+    masks = [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(8), 7 - bits)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     posting = F.explode(F.array(*[F.xxhash64(F.col("_fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(signed)])).alias("_posting")
     posted = distinct.select(posting, "_fp").repartition("_posting").sortWithinPartitions("_posting")
@@ -190,17 +173,11 @@ def _kernel_of(shingle: int):
     return kernel
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, bits: int = BITS) -> DataFrame:
-    """docs with one document of each group: the one with the smallest key, the first row of equal
-    ones. The rows that go are the smaller side of the join; it is broadcast where its file is small
-    enough for the session's threshold."""
-    base = numbered(docs, text, key, docs.columns)
-    found = materialise(groups(base, "_text", "_key", shingle, bits, rows="_row"), "simhash-groups")
-    place = F.struct(F.col("_key").isNull(), "_key", "_row")
-    first = found.groupBy("_part").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_part").alias("_p"), F.col("_first._row").alias("_stays"))
-    gone = materialise(found.join(first, F.col("_part") == F.col("_p")).where("_row != _stays").select(F.col("_row").alias("_gone")), "simhash-gone")
-    out = base.join(gone, F.col("_row") == F.col("_gone"), "left_anti")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near-duplicates: texts whose sets of five-word shingles have
+    a Jaccard similarity of 0.8 or more. Fingerprints cannot promise that, as pairs at 0.8 differ in 4 to 14
+    bits and a shared byte is promised up to 7 only, so the pairs come from an exact set join."""
+    return near_copies.dedup(docs, text, key, threshold, shingle)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

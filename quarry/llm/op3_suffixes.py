@@ -253,8 +253,8 @@ def matches(held: Slabs, min_words: int = MIN_WORDS, seed: int = SEED) -> DataFr
     kinds = found.groupBy("_c", "_d").agg(F.count(F.lit(1)).alias("_n"), F.first("_slab").alias("_slab"), F.first("_at").alias("_at"), F.first("_h").alias("_h"), F.first("_differ").alias("_differ"))
     kinds = materialise(kinds, "suffix-kinds")
     opened = with_texts(held, kinds.where("_differ"), ["_at", "_h", "_c", "_d"], _opened(min_words, seed), "_c bigint, _d bigint, _key binary")
-    # a key holds the whole context, so that hardly two are equal and range partitions can split any group
-    order = opened.repartitionByRange("_key", "_c", "_d").sortWithinPartitions("_key")
+    # ranges of the key's front, as ranges are sampled, and then of the name, so that they can split any group
+    order = opened.repartitionByRange(F.substring("_key", 1, 8 + 8 * CODE), "_c", "_d").sortWithinPartitions("_key")
     inside = materialise(order.mapInArrow(trimmed(lambda it: _neighbours(it, left, head, min_words)), _OUT), "suffix-neighbours")
     edge = inside.where("_w is not null")
     twice = edge.groupBy("_w", "_v").agg(F.sum("_n").alias("_t")).where("_t > 1").select(F.col("_w").alias("_w1"), F.col("_v").alias("_v1"))

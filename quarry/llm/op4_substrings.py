@@ -180,3 +180,14 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+e AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+k AS (SELECT e.r, string_agg(word, ' ' ORDER BY e.i) AS kept, count(*) AS n FROM e LEFT JOIN gone ON e.r = gone.r AND e.i = gone.i WHERE gone.r IS NULL GROUP BY e.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (r)
+"""

@@ -37,7 +37,7 @@ from quarry.llm.common import forget, materialise, table, trimmed
 from quarry.llm.set_join import EPS, across, block_of, first_round, second_round
 from quarry.llm.slabs import Slabs, slabs, stored, with_texts
 
-THRESHOLD, SLOT_BITS, PIECES = 0.8, 18, 64
+THRESHOLD, SLOT_BITS, PIECES, PASSES = 0.8, 18, 64, 2
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -189,16 +189,17 @@ def removed(held: Slabs, threshold: float = THRESHOLD, block: int | None = None)
     forget(least)
     # only the earliest line of each set is posted; its sets are one side of the join, so a hot one can be split
     here = every.join(sets, ["_s1", "_s2"]).where((F.col("_slab") == F.col("_fs")) & (F.col("_line") == F.col("_fl")))
-    long = here.select(F.posexplode(F.arrays_zip("_prefix", "_blocks")).alias("pos", "_p"), "a", F.col("_n").alias("n"), F.col("_sig0").alias("sig0"), F.col("_sig1").alias("sig1"))
-    long = long.select(F.col("_p._prefix").alias("token"), F.col("_p._blocks").alias("blocks"), "pos", "a", "n", "sig0", "sig1")
+    firsts = materialise(here.select("a", F.col("_n").alias("n"), F.col("_sig0").alias("sig0"), F.col("_sig1").alias("sig1"), "_prefix", "_blocks"), "line-posted")
+    long = lambda df: df.select(F.posexplode(F.arrays_zip("_prefix", "_blocks")).alias("pos", "_p"), "a", "n", "sig0", "sig1").select(F.col("_p._prefix").alias("token"), F.col("_p._blocks").alias("blocks"), "pos", "a", "n", "sig0", "sig1")
     dealt = F.when(F.col("blocks") > 1, F.hash("token", block_of(F.col("a"), F.col("blocks")))).otherwise(F.col("token")).alias("token")
-    posted = long.select(dealt, "n", "pos", "a", "sig0", "sig1").repartition("token")
-    # one number as the sort key: Spark sorts it by radix
-    posted = posted.sortWithinPartitions(F.shiftleft(F.col("token").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")))
-    found = materialise(first_round(posted, threshold, 2), "line-candidates")
-    spread = materialise(here.where(F.exists("_blocks", lambda x: x > 1)).select("a", "_n", "_sig0", "_sig1", "_prefix", "_blocks"), "line-spread")
-    spread = spread.select("a", F.col("_n").alias("n"), F.col("_sig0").alias("sig0"), F.col("_sig1").alias("sig1"), F.posexplode(F.arrays_zip("_prefix", "_blocks")).alias("pos", "_p"))
-    spread = spread.select(F.col("_p._prefix").cast("bigint").alias("token"), F.col("_p._blocks").alias("blocks"), "pos", "a", "n", "sig0", "sig1").where("blocks > 1")
+    found = None
+    for part in range(PASSES):  # some of the tokens at a time: the postings on disk are several times the sets
+        posted = long(firsts).where(F.pmod("token", F.lit(PASSES)) == part).select(dealt, "n", "pos", "a", "sig0", "sig1").repartition("token")
+        # one number as the sort key: Spark sorts it by radix
+        posted = posted.sortWithinPartitions(F.shiftleft(F.col("token").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")))
+        some = materialise(first_round(posted, threshold, 2), "line-candidates")
+        found = some if found is None else found.union(some)
+    spread = long(firsts.where(F.exists("_blocks", lambda x: x > 1))).withColumn("token", F.col("token").cast("bigint")).where("blocks > 1")
     pairs, dense = found.where("b is not null").select("a", "b"), found.where("b is null")
     # the words of all sets that either round may ask for, in one pass over the texts
     wanted = found.select(F.col("a").alias("_w")).union(pairs.select("b")).union(spread.select("a")).distinct().join(sets, F.col("_w") == F.col("a"))

@@ -2,20 +2,23 @@
 
 The base rules (e-mail, IPv4 address, card number, telephone number) always stay. Besides them,
 high-recall generators propose overlapping spans: spelled-out e-mail addresses, runs of digits with
-separators that look like telephone or card numbers, dotted quads with spaces. Boosted trees score
-each candidate by format and context features; a threshold per kind, calibrated on held-out
-candidates for ``precision``, selects what is added. Candidates that touch a base span are not
-added again.
-
-The trees are fitted on a bounded sample: at most ``sample_docs`` documents (those whose hashed id
-falls under a threshold) and ``sample_candidates`` candidates of them. A positive is a base span
-written in a form that no base rule accepts, in its place in the text; a negative is a candidate whose
-context or value speaks against it, or a base span put in such a context. Other candidates off the base
-spans have no label. A leading + and an @ are no features, as they define base rules. The calibrated precision is
-that on held-out labels, not on the unlabelled candidates. Detection covers every document, whole.
+separators that look like telephone or card numbers, dotted quads with spaces, and long strings of
+letters and digits that may be secrets. Boosted trees score each candidate by format and context
+features; a threshold per kind, calibrated on held-out candidates for ``precision``, selects what is
+added. Candidates that touch a base span are not added again.
+
+The trees are fitted on a bounded sample: about ``sample_docs`` different texts (those whose hash falls
+under a threshold, each once however often it repeats), and ``sample_candidates`` candidates of them.
+Labels do not come from the base rules. A positive is a base span written in a form that no base rule
+accepts, in its place in the text, or a random key put behind the words that keys stand behind; a negative is
+a candidate whose context or value speaks against it, a base span put in such a context, or a checksum,
+name or version in a key's place. Other candidates off the base spans have no label. A leading + and an
+@ are no features, as they define base rules. The calibrated precision is that on held-out labels,
+held out by text. Detection covers every document, whole.
 
 Offsets are code points, end exclusive. Edges: a null text is an empty one; repeated rows are
-treated alike; an empty table, or a sample without candidates, adds nothing to the base rules.
+treated alike; null and repeated keys play no part in the sample; an empty table, or a sample without
+candidates, adds nothing to the base rules.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 from quarry.llm import kernels as K
 from quarry.llm.common import map_arrow, table
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 SAMPLE_DOCS, SAMPLE_CANDIDATES, PRECISION = 20_000, 20_000, 0.98
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -48,6 +53,9 @@ QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?\.\s?[0-9]{1,3}){3}(?![0-9.])")
 AT = re.compile(r"[(\[]\s?at\s?[)\]]", re.I)
 _AT_BYTES = re.compile(rb"[(\[].{0,3}at.{0,3}[)\]]", re.I | re.S)  # as wide as AT: a space has three bytes at most
 AGAINST = re.compile(r"(?i)(?:=|#|\$|€|£|\b(?:key|token|id|no\.?|v|version|order|isbn|sha|part))\W*$")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}(?![A-Za-z0-9_+/=-])")
+KEYWORD = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|bearer|auth(?:orization)?)[\"']?\s*(?:[:=]+|\s)\s*[\"']?$")
+CHECKSUM = re.compile(r"(?i)(?:sha-?[0-9]*|md5|commit|checksum|digest|etag|revision|hash|uuid|build|file|img|path)[\"']?\s*[:=]?\s*[\"']?$")
 DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
 _MARK = np.zeros(256, bool)
 _MARK[[*range(48, 58), ord("@"), ord("+")]] = True
@@ -103,16 +111,29 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if n >= 13:
             out.append(("card", m.start() + (m.group()[0] in "+("), m.end()))
     out += [("ip", *m.span()) for m in QUAD.finditer(text)]
+    for m in SECRET.finditer(text):
+        digits = sum(c.isdigit() for c in m.group())
+        if 2 <= digits and sum(c.isalpha() for c in m.group()) >= 2:
+            start = m.start() + (m.group().rfind("=", 0, -2) + 1)  # what an assignment assigns
+            if m.end() - start >= 16:
+                out.append(("secret", start, m.end()))
     return out
 
 
-FEATURES = 17
+def entropy(span: str) -> float:
+    """Bits of each character."""
+    counts = np.array(list(Counter(span).values()), float) / max(1, len(span))
+    return float(-(counts * np.log2(counts)).sum())
+
+
+FEATURES = 22
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     span, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 12]
     # length and digits are format in numbers only: in an address they say nothing of its form
-    number = span if kind != "email" else ""
+    number = span if kind not in ("email", "secret") else ""
+    key = span if kind == "secret" else ""
     digits = "".join(c for c in number if c.isdigit() and c.isascii())
     groups = re.findall(r"[0-9]+", number)
     return [
@@ -121,6 +142,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(digits) and luhn(digits)), float(all(int(g) <= 255 for g in groups) if groups and len(groups) == 4 and max(map(len, groups)) < 10 else 0),
         float(bool(before) and before[-1].isspace()), float(not after or not (after[0].isalnum() or after[0] in "_=\"'")),
         float(bool(re.search(r"(?i)(mail|tel|phone|call|card|visa|ip|host|contact)\W*$", before))), float(bool(re.search(r"(?i)(=|key|token|id|no\.?|#|v)\W*$", before)) or bool(AGAINST.search(before))),
+        float(len(key)), entropy(key) if key else 0.0, float(bool(key) and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", key) is not None), float(bool(key) and KEYWORD.search(before) is not None),
+        float(bool(key) and CHECKSUM.search(before) is not None),
     ]
 
 
@@ -219,6 +242,8 @@ def disguised(kind: str, span: str, r: random.Random) -> str:
 def against(text: str, kind: str, start: int, end: int) -> bool:
     """Whether the context or the value speaks against a candidate."""
     span, after = text[start:end], text[end : end + 1]
+    if kind == "secret":
+        return CHECKSUM.search(text[max(0, start - 24) : start]) is not None
     if AGAINST.search(text[max(0, start - 24) : start]) or after.isalnum() or after in ("_", "%"):
         return True
     if kind == "email":
@@ -230,9 +255,31 @@ def against(text: str, kind: str, start: int, end: int) -> bool:
     return DATE.search(span) is not None
 
 
+def _secrets(text: str, key: int) -> Iterator[tuple[str, int, list[float], bool]]:
+    """Random keys and what looks like them, put at a random place of the text."""
+    r = random.Random(f"{key} secret")
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    leads = ['token = "', "token: ", 'api_key="', "API_KEY=", "secret = ", "password: ", "Authorization: Bearer ", '"access_key": "', "auth "]
+    others = ["sha256:", "commit ", "md5 ", "checksum: ", 'etag: "', "file ", "build ", "revision "]
+    word = lambda: r.choice(re.findall(r"[a-z]{3,}", text[:2000]) or ["final"])
+    names = [lambda: f"{word()}_{word()}_{word()}_20{r.randint(10, 30)}", lambda: f"{word()}-{word()}-v{r.randint(1, 9)}-{r.randint(1, 99)}-{word()}"]
+    for made, lead, label in (
+        (r.choice([lambda: hexes(r.choice([32, 40, 64])), lambda: mixed(r.randint(20, 64))])(), r.choice(leads), True),
+        (hexes(r.choice([32, 40, 64])), r.choice(others), False),
+        (r.choice(names)(), r.choice(["", *leads, *others]), False),
+    ):
+        at = r.randint(0, len(text))
+        at = text.find(" ", at) + 1
+        put = text[max(0, at - 200) : at] + lead
+        start, quote = len(put), '"' if lead.endswith('"') else ""
+        put += made + quote + " " + text[at : at + 100]
+        yield from (("secret", at, features(put, k, s, e), label) for k, s, e in candidates(put) if (k, s, e) == ("secret", start, start + len(made)))
+
+
 def examples(text: str, key: int) -> list[tuple[str, int, list[float], bool]]:
     """(kind, start, features, label) of a text."""
-    base, out = base_spans(text), []
+    base, out = base_spans(text), list(_secrets(text, key))
     own = [(s, e) for _, s, e in base]
     for k, s, e in candidates(text):
         if not any(a < e and s < b for a, b in own) and against(text, k, s, e):
@@ -265,10 +312,11 @@ def _sample_kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.list_(pa.float64()))], ["key", "start", "kind", "x"])
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> Trees:
+def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> Trees:
     share = min(1.0, sample_docs / max(1, docs.count()))
-    part = docs.withColumn("_h", F.xxhash64(F.col(key))).where(F.pmod("_h", F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).where(F.col(text).rlike("[0-9@]"))
-    rows = map_arrow(part.select(F.col(text).alias("t"), F.col("_h")), _sample_kernel, "key bigint, start bigint, kind string, x array<double>")
+    part = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where(F.col("t").rlike("[0-9@]")).withColumn("_h", F.xxhash64("t"))
+    part = part.where(F.pmod("_h", F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).dropDuplicates(["_h"])
+    rows = map_arrow(part.select("t", "_h"), _sample_kernel, "key bigint, start bigint, kind string, x array<double>")
     got = rows.orderBy(F.xxhash64("key", "start", "kind"), "key", "start", "kind", "x").limit(sample_candidates).collect()
     if not got:
         return Trees()
@@ -304,7 +352,7 @@ def _detect_kernel(model: Trees):
         for rows, data, offsets in K.slices(batch, "_text", 8 << 20):
             total = np.concatenate(([0], np.cumsum(_MARK[data], dtype=np.int64)))
             marked = (total[offsets[1:]] - total[offsets[:-1]]) > 0
-            counts, digests, spans = np.zeros((4, rows.num_rows), np.int64), [empty] * rows.num_rows, [""] * rows.num_rows
+            counts, added, digests, spans = np.zeros((4, rows.num_rows), np.int64), np.zeros(rows.num_rows, np.int64), [empty] * rows.num_rows, [""] * rows.num_rows
             raw = data.tobytes()
             for i in range(rows.num_rows):
                 piece = raw[offsets[i] : offsets[i + 1]]
@@ -312,20 +360,20 @@ def _detect_kernel(model: Trees):
                     continue
                 base, every = detect(piece.decode("utf-8", "replace"), model)
                 for k, _, _ in base:
-                    counts[KINDS.index(k), i] += 1
+                    counts[BASE.index(k), i] += 1
                 if base:
                     digests[i] = hashlib.sha256(join(base).encode()).hexdigest()
-                spans[i] = join(every)
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], *(pa.array(c) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], [*rows.schema.names[1:], *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                spans[i], added[i] = join(every), len(every) - len(base)
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], *(pa.array(c) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added), pa.array(added + counts.sum(0))], [*rows.schema.names[1:], *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added", "n_spans"])
 
     return kernel
 
 
 def find(docs: DataFrame, model: Trees, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per row of docs."""
-    slim = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"))
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans), one row per row of docs."""
+    slim = docs.select(F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{key}`").alias("_key"))
     kind = slim.schema["_key"].dataType.simpleString()
-    out = map_arrow(slim, _detect_kernel(model), f"_key {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string")
+    out = map_arrow(slim, _detect_kernel(model), f"_key {kind}, " + ", ".join(f"n_{k} bigint" for k in BASE) + ", base_sha256 string, spans string, n_added bigint, n_spans bigint")
     return out.withColumnRenamed("_key", key)
 
 

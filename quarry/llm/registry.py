@@ -16,6 +16,12 @@ QUERIES = {
     "op9_quality": op9_quality.query,
     "op10_sentencepiece": op10_sentencepiece.query,
     "pages_language": op1_language.pages,
+    "mixing_targets": op8_mixing.targets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substrings": op4_substrings.SQL,
+    "op6_topk": op6_topk.SQL,
+    "op9_quality": op9_quality.SQL,
+    "mixing_targets": op8_mixing.SQL,
+}

@@ -225,10 +225,14 @@ def across(long: DataFrame, asked: DataFrame, most: int) -> DataFrame:
     """The second round's rows of postings that are dealt to blocks. long: (token, blocks, a, ...), their
     rows; asked: those that are open. Open rows go to every block of their posting; where a posting has
     more than ``most`` of them they are dealt to blocks too, and its rows go to each of these."""
-    many = asked.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("_asked")).withColumnRenamed("token", "_t")
+    block = block_of(F.col("a"), F.col("blocks"))
+    many = asked.groupBy("token", "blocks").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("_asked"))
+    # by block, so that a long posting's rows are dealt to many tasks here, too
+    many = many.select(F.col("token").alias("_t"), "_asked", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)).alias("_b"))
+    here = (F.col("token") == F.col("_t")) & (F.col("_block") == F.col("_b"))
     group = lambda i, j: F.xxhash64(F.lit(1), "token", i, j)
-    home = long.join(many, F.col("token") == F.col("_t")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_asked") - 1)))
-    home = home.withColumn("group", group(block_of(F.col("a"), F.col("blocks")), F.col("_j").cast("bigint"))).withColumn("open", F.lit(False))
-    out = asked.join(many, F.col("token") == F.col("_t")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    home = long.withColumn("_block", block).join(many, here).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_asked") - 1)))
+    home = home.withColumn("group", group(F.col("_block"), F.col("_j").cast("bigint"))).withColumn("open", F.lit(False))
+    out = asked.withColumn("_block", block).join(many, here).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = out.withColumn("group", group(F.col("_i").cast("bigint"), block_of(F.col("a"), F.col("_asked")))).withColumn("open", F.lit(True))
-    return home.drop("_j", "_t", "_asked").unionByName(out.drop("_i", "_t", "_asked"))
+    return home.drop("_j", "_t", "_asked", "_block", "_b").unionByName(out.drop("_i", "_t", "_asked", "_block", "_b"))

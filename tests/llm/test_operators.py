@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -201,20 +202,65 @@ def test_lines(docs, rows):
                 assert kept[r[0]] == (None if r[1] is None else "\n".join(left))
 
 
-def test_topk(spark):
+def best_of(data, k=20):
+    """Brute force: (query id, rank, id, score) of every row whose id is divisible by 20."""
+    ints = [(n, i, [math.floor(64 * x) for x in v]) for n, (i, v) in enumerate(data) if v and None not in v and all(map(math.isfinite, v))]
+    out = []
+    for n, i, q in ints:
+        if i is not None and i % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j is None, j or 0) for m, j, v in ints if m != n and len(v) == len(q))
+            out += [(i, rank, None if none else j, -s) for rank, (s, none, j) in enumerate(scored[:k], 1)]
+    return sorted(out, key=str)
+
+
+def found_by(frame, **options):
+    got = op6_topk.search(frame, F.col("vec_id") % 20 == 0, **options).collect()
+    return sorted(((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got), key=str)
+
+
+@pytest.mark.parametrize("kind", ["dense", "sparse", "negative", "large", "huge"])
+def test_topk(spark, kind):
     r = np.random.default_rng(0)
     vectors = np.round(r.normal(0, 0.2, (400, 8)), 2)
+    if kind == "sparse":
+        vectors[r.random(vectors.shape) < 0.8] = 0
+        vectors = np.abs(vectors)
+    if kind == "negative":
+        vectors = -np.abs(vectors)
+        vectors[::3] *= -1
+    if kind == "large":
+        vectors[7], vectors[40, 0] = 1e9 * vectors[7], 3e7
+    if kind == "huge":
+        vectors[7], vectors[40, 0] = 1e13 * vectors[7], 3e2
     data = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     data[3], data[4], data[5] = (3, None), (4, [1.0, None] + [0.0] * 6), (5, [float("nan")] * 8)
+    # ids that repeat, no id, other lengths, nothing
+    data += [(20, data[9][1]), (20, data[20][1]), (None, data[20][1]), (None, data[9][1]), (60, [0.5, 1.0]), (80, [0.25, 3.0]), (100, []), (140, [0.0] * 8)]
     frame = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
-    got = op6_topk.search(frame, frame.where("vec_id % 20 = 0"), shard=70, block=8).collect()
-    ints = {i: np.floor(64 * np.array(v)).astype(int) for i, v in data if v is not None and None not in v and np.isfinite(v).all()}
-    wanted = set()
-    for q in ints:
-        if q % 20 == 0:
-            best = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:20]
-            wanted |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
-    assert {(g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got} == wanted and len(got) == len(wanted)
+    assert found_by(frame, shard=70, block=8) == best_of(data)
+
+
+def test_topk_exact_types_and_overflow(spark):
+    ones = np.ones((2, 4))
+    assert [op6_topk.exact_type(ones * 2.0**a, ones * 2.0**b) for a, b in ((5, 5), (12, 12), (30, 25), (40, 40))] == [np.float32, np.float64, np.int64, object]
+    frame = spark.createDataFrame([(20, [1e30, 0.0]), (1, [1e30, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        op6_topk.search(frame, F.col("vec_id") % 20 == 0).collect()
+
+
+def test_topk_splits_terms():
+    r = np.random.default_rng(1)
+    vectors = np.where(r.random((300, 30)) < 0.15, np.floor(r.exponential(20, (300, 30))), 0)
+    vectors[:, 0] = np.where(r.random(300) < 0.3, 900.0, 0)
+    ids = np.stack((np.zeros(300, np.int64), np.arange(300)), 1)
+    shard = op6_topk.Postings(vectors, ids, np.arange(300), np.float64)
+    for own in range(0, 300, 7):
+        scores = vectors @ vectors[own]
+        order = sorted((-s, i) for i, s in enumerate(scores) if i != own)[:20]
+        for floor in (None, -order[-1][0], -order[4][0]):
+            at, got = op6_topk.maxscore(shard, vectors[own], own, 20, floor)
+            wanted = [(i, -s) for s, i in order if floor is None or -s >= floor]
+            assert list(zip(at.tolist(), got.tolist(), strict=True))[: len(wanted)] == wanted
 
 
 def test_pii(docs, rows):
@@ -237,7 +283,7 @@ def test_pii(docs, rows):
         spans = brute(r[1] or "")
         digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
         g = by_id[r[0]]
-        assert (g["n_email"], g["n_ip"], g["n_card"], g["n_phone"]) == tuple(sum(s[0] == k for s in spans) for k in op7_pii.KINDS) and g["base_sha256"] == digest
+        assert (g["n_email"], g["n_ip"], g["n_card"], g["n_phone"]) == tuple(sum(s[0] == k for s in spans) for k in op7_pii.BASE) and g["base_sha256"] == digest
         assert set(filter(None, g["spans"].split(","))) >= {f"{k}:{a}:{b}" for k, a, b in spans}
     assert op7_pii.redact("mail me@x.org now", "email:5:13") == "mail [email] now"
 
@@ -253,39 +299,84 @@ def test_boosting_holds_out():
     assert ((score > 0.5) == y[held]).mean() > 0.97 and set(model.thresholds) == {"email", "ip"}
 
 
+def filled(sizes, weights, share=1.5, cap=2.0):
+    total, stopped = share * sum(sizes.values()), {s for s in sizes if not sizes[s]}
+    while True:
+        free = [s for s in sizes if s not in stopped]
+        level = (total - sum(cap * sizes[s] for s in stopped)) / sum(weights[s] for s in free)
+        above = {s for s in free if level * weights[s] > cap * sizes[s]}
+        if not above:
+            return {s: cap * sizes[s] if s in stopped else level * weights[s] for s in sizes}
+        stopped |= above
+
+
 def test_mixing(docs, rows):
     sizes = collections.Counter()
     for r in rows:
         sizes[r[3]] += len(words(r[1]))
     order = sorted(s for s in sizes if s is not None) + [None]
-    weights = dict(zip(order, [5, 2, 1, 5, 2, 1], strict=False))
-    targets = op8_mixing.water_fill(dict(sizes), weights, 1.5, 2.0)
-    assert abs(sum(targets.values()) - 1.5 * sum(sizes.values())) < 1e-6 and all(t <= 2 * sizes[s] + 1e-9 for s, t in targets.items())
-    plan = lambda: op8_mixing.plan(docs, lambda z: op8_mixing.water_fill(z, op8_mixing.cyclic_weights(list(z)), 1.5, 2.0), blocks=16, shards=8).collect()
-    got = plan()
+    targets = filled(dict(sizes), dict(zip(order, [5, 2, 1, 5, 2, 1], strict=False)))
+    assert abs(sum(targets.values()) - 1.5 * sum(sizes.values())) < 1e-6
+    plan = lambda d: op8_mixing.plan(d, op8_mixing.cyclic(), shards=8).collect()
+    got = plan(docs)
     taken, shards = collections.Counter(), collections.Counter()
     for g in got:
         assert g["source_size"] == sizes[g["source"]] and abs(g["target"] - targets[g["source"]]) < 1e-6 and 0 <= g["taken"] <= 2 * g["size"]
         taken[g["source"]] += g["taken"]
         shards.update(c["shard"] for c in g["copies"])
-    assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes) and set(shards) == set(range(8))
-    assert sorted(map(str, plan())) == sorted(map(str, got))
+    assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes) and set(shards) == set(range(8)) and max(shards.values()) - min(shards.values()) <= 12
+    plain = lambda rows: sorted(str({k: v for k, v in g.asDict().items() if k != "_row"}) for g in rows)
+    assert plain(plan(docs)) == plain(got) == plain(plan(docs.repartition(5)))
     mixed = op8_mixing.mix(docs, op8_mixing.tempered, shards=8)
     assert mixed.columns == docs.columns
     found = collections.Counter(r["text"] for r in mixed.collect())
     assert set(found) == {r[1] for r in rows if words(r[1])}
 
 
+def test_mixing_copies_of_one_row(spark):
+    rows = [(1, "a b c", "s")] * 500 + [(i, "d e", "t") for i in range(20)] + [(2, "", "t"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op8_mixing.plan(docs, op8_mixing.cyclic(), shards=4).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert all(abs(g["taken"] - g["target"]) <= 1 and g["over"] <= 0 for g in got) and len(got) == 3
+    assert op8_mixing.mix(docs, op8_mixing.tempered, shards=4).count() == 500 + 2 * 20
+
+
 def test_splitting_tree():
     quota = np.array([0, 7, 1000, 123, 5])
-    out = op8_mixing.splitting_tree(quota, 7, 1)
-    assert (out.sum(0) == quota).all() and out.sum(1).max() - out.sum(1).min() <= 3 and (out == op8_mixing.splitting_tree(quota, 7, 1)).all()
+    tree = lambda: op8_mixing.splitting_tree(quota, np.ones(7), 1)
+    assert (tree().sum(0) == quota).all() and tree().sum(1).max() - tree().sum(1).min() <= 3 and (tree() == tree()).all()
+
+
+def test_large_draws_are_hypergeometric(monkeypatch):
+    rng = lambda: np.random.Generator(np.random.Philox(key=[1, 2]))
+    have, wanted = np.array([3, 0, 400, 90]), 200
+    plain = np.array([op8_mixing.draw(g, have, wanted) for g in [rng()] for _ in range(3000)])
+    monkeypatch.setattr(op8_mixing, "LARGE", 10)
+    g = rng()
+    own = np.array([op8_mixing.draw(g, have, wanted) for _ in range(3000)])
+    assert (own.sum(1) == wanted).all() and (own <= have).all()
+    assert np.abs(own.mean(0) - wanted * have / have.sum()).max() < 0.5 and np.abs(own.std(0) - plain.std(0)).max() < 0.3
+    monkeypatch.undo()
+    big = op8_mixing.draw(rng(), np.array([6 * 10**11, 10**12, 5]), 8 * 10**11)
+    assert big.sum() == 8 * 10**11 and abs(big[0] - 3 * 10**11) < 10**7
+
+
+def test_shares_over_groups_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(op8_mixing, "TOP", 8)
+    quota = spark.createDataFrame([(f"s{i}", i % 9) for i in range(200)] + [(None, 40)], "source string, n long")
+    got = op8_mixing.shares(quota, 30, 3).collect()
+    by_source, by_shard = collections.Counter(), collections.Counter()
+    for g in got:
+        by_source[g["source"]] += g["n"]
+        by_shard[g["shard"]] += g["n"]
+    assert by_source == collections.Counter({f"s{i}": i % 9 for i in range(200) if i % 9} | {None: 40})
+    assert set(by_shard) <= set(range(30)) and max(by_shard.values()) - min(by_shard.values()) <= 4
 
 
 def test_quality(docs, rows):
     got = {g["doc_id"]: g for g in op9_quality.assess(docs, line_limit=2).collect()}
     assert op9_quality.assess(docs).count() == len(rows)
-    texts = {(r[3], r[1] or "") for r in rows}
+    texts = [(r[3], r[1] or "") for r in rows]
     fold = lambda line: " ".join(re.sub("[0-9]", "0", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)) for w in words(line))
     common = collections.Counter((s, line) for s, t in texts for line in {fold(x) for x in t.split("\n")} if line)
     for r in rows[:-2]:
@@ -311,7 +402,7 @@ def test_language_held_out(spark):
     train = [(i, text(k, 40), k, f"h{i % 3}") for i in range(300) for k in [list(tongues)[i % 3]]]
     test = [(i, text(k, 15), None, f"h{i % 3}") for i in range(300, 360) for k in [list(tongues)[i % 3]]] + [(990, None, None, None), (991, "", None, "h0"), (992, "漢字仮名交じり文です" * 20, None, "h1"), (993, "12 34 !!", "en", None)]
     schema = "doc_id long, text string, lang string, source string"
-    model = op1_language.fit(spark.createDataFrame(train, schema), "text", "lang", "doc_id")
+    model = op1_language.fit(spark.createDataFrame(train, schema), "text", "lang")
     got = {g["doc_id"]: g for g in op1_language.identify(spark.createDataFrame(test, schema), model, declared=F.col("lang"), host=F.col("source")).collect()}
     assert sum(got[i]["language"] == list(tongues)[i % 3] and got[i]["kept"] for i in range(300, 360)) >= 58
     assert not any(got[i]["kept"] for i in (990, 991, 992, 993)) and got[992]["language"] == "und"
@@ -359,9 +450,11 @@ def test_empty_tables(spark, tmp_path):
     none = spark.read.parquet(path)
     assert op2_simhash.groups(none).count() == op4_substrings.remove(none).count() == op5_lines.report(none).count() == op3_suffixes.spans(none).count() == 0
     assert op9_quality.assess(none).count() == op7_pii.find(none, op7_pii.fit(none)).count() == op1_language.of_documents(none).count() == 0
-    assert op8_mixing.plan(none, lambda z: op8_mixing.water_fill(z, op8_mixing.cyclic_weights(list(z)), 1.5, 2.0)).count() == 0
+    assert op8_mixing.plan(none, op8_mixing.cyclic()).count() == op8_mixing.mix(none, op8_mixing.tempered).count() == 0
+    assert op2_simhash.dedup(none).count() == op5_lines.dedup(none).count() == op1_language.keep_known(none).count() == 0
+    assert op10_sentencepiece.tokens(none, op10_sentencepiece.load()).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert op6_topk.search(vectors, vectors).count() == 0
+    assert op6_topk.search(vectors, F.lit(True)).count() == 0
 
 
 def test_pipeline(spark, rows, tmp_path):
