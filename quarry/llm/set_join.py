@@ -28,8 +28,8 @@ HEAD = "a bigint, b bigint, token bigint, n int, pos int"
 
 
 def block_size(postings: int, partitions: int) -> int:
-    """Rows of a posting that stay together: about a quarter of a partition's share, within bounds."""
-    return min(MOST_BLOCK, max(LEAST_BLOCK, postings // (4 * partitions)))
+    """Rows of a posting that stay together: a small part of a partition's share, within bounds."""
+    return min(MOST_BLOCK, max(LEAST_BLOCK, postings // (64 * partitions)))
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
