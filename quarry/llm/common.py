@@ -36,9 +36,17 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"  # texts are long: small
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _made: dict[str, list[str]] = {}
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From now on the session's Arrow batches end at that many bytes, too: texts are long, and a batch is
+    held by the executor and by its Python worker."""
+    spark.conf.set(_BYTES, size)
+
+
 def materialise(df: DataFrame, name: str, keep: bool = False, options: dict[str, str] | None = None) -> DataFrame:
     """Cuts the lineage: writes a slim intermediate as Parquet to the shared folder and reads it
     back, so that a lost executor costs no recomputation and no second scan of the texts. The shuffle
@@ -96,7 +104,9 @@ def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
 
 
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """kernel over every Arrow batch. Nothing but what the kernel yields leaves a batch."""
+    """kernel over every Arrow batch, empty ones left out; nulls reach the kernel as they are. Nothing but
+    what the kernel yields leaves a batch."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import map_arrow, table, trimmed
+from quarry.llm.common import bound_batches, map_arrow, table, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE, WIDE, MEMO = 1 << 19, 48, 200_000
+SLICE, WIDE, MEMO = 1 << 18, 48, 200_000
 SPACE_MARK = 0x2581
 _LOW = np.float32(-np.inf)
 
@@ -409,6 +409,7 @@ def tokens(docs: DataFrame, v: Vocabulary, text: str = "text", keep: tuple[str,
     """(keep..., ids array<int>, n_tokens, round_trip): the pieces of every whole text, and whether
     decoding them gives the text back byte for byte. others: more of the like by other vocabularies, from
     the same pass over the texts."""
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "_text"]
     every = {names: v, **(others or {})}

@@ -156,7 +156,7 @@ hosts AS (SELECT source, greatest(100.0, count(*) * 0.001) AS most FROM d GROUP
 common AS (SELECT n.source, line FROM norm n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source GROUP BY n.source, line, most HAVING count(DISTINCT r) > most),
 gone AS (SELECT n.r, sum(n.size) AS n FROM norm n JOIN common c ON n.source IS NOT DISTINCT FROM c.source AND n.line = c.line GROUP BY n.r),
 a AS (
-  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(w) - coalesce(gone.n, 0) AS BIGINT) AS n_left_words
   FROM w LEFT JOIN repeats USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)

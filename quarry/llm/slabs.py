@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
-from quarry.llm.common import materialise, trimmed
+from quarry.llm.common import bound_batches, materialise, trimmed
 
 SLAB_BYTES = 1 << 19
 
@@ -60,6 +60,7 @@ def numbered(docs: DataFrame, text: str, key: str, keep: list[str] | None = None
 def stored(docs: DataFrame, text: str, key: str, keep: list[str] | None = None) -> Slabs:
     """docs as slabs: rows of (_text, _key, _row, c0, c1...), c0... the columns to keep. _row is a number
     of the row, the slab's number that of its first one."""
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{key}`").alias("_key"), F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep or [])])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
