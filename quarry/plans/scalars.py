@@ -275,9 +275,18 @@ query("ngram_counts", "part", "WITH g AS (SELECT substr(p_name, i, k) AS ngram,
     lambda df: training.ngrams(df, F.col("p_name")).select("ngram", F.col("length").cast("bigint").alias("length"), "n", F.col("score").cast("bigint").alias("score"))
 )
 query("rle_runs", "lineitem", "SELECT l_orderkey, l_returnflag, count(*) AS run, min(l_linenumber) AS first FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS g FROM lineitem) GROUP BY l_orderkey, l_returnflag, g")(
-    lambda df: df.withColumn("g", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE)) - F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy(*_LINE))).groupBy("l_orderkey", "l_returnflag", "g").agg(F.count(F.lit(1)).alias("run"), F.min("l_linenumber").alias("first")).drop("g")
+    lambda df: _runs(df.select("l_orderkey", "l_returnflag", *_LINE)).groupBy("l_orderkey", "l_returnflag", "g").agg(F.count(F.lit(1)).alias("run"), F.min("l_linenumber").alias("first")).drop("g")
 )
 _LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+def _runs(df: DataFrame) -> DataFrame:
+    """df with g, the number of the run of equal flags: one window, whose partitioning serves the grouping."""
+    w = Window.partitionBy("l_orderkey").orderBy(*_LINE)
+    new = F.coalesce((F.lag("l_returnflag").over(w) != F.col("l_returnflag")).cast("int"), F.lit(0))
+    return df.withColumn("_new", new).withColumn("g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
 query("totals_rollup", "documents", "SELECT lang, source, count(*) AS files, sum(strlen(text))::BIGINT AS size FROM documents GROUP BY ROLLUP (lang, source)")(lambda df: df.rollup("lang", "source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).alias("size")))
 
 
