@@ -187,6 +187,8 @@ def identify(
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
+    """lang is the label of the sample and the declared language of every row; text_language is what the text
+    alone gives, and the tests hold labels out."""
     return identify(docs, fit(docs, "text", "lang"), declared=F.col("lang"), host=F.col("source"))
 
 
