@@ -200,6 +200,7 @@ def removed(held: Slabs, threshold: float = THRESHOLD, block: int | None = None)
         some = materialise(first_round(posted, threshold, 2), "line-candidates")
         found = some if found is None else found.union(some)
     spread = long(firsts.where(F.exists("_blocks", lambda x: x > 1))).withColumn("token", F.col("token").cast("bigint")).where("blocks > 1")
+    spread = materialise(spread, "line-spread")
     pairs, dense = found.where("b is not null").select("a", "b"), found.where("b is null")
     # the words of all sets that either round may ask for, in one pass over the texts
     wanted = found.select(F.col("a").alias("_w")).union(pairs.select("b")).union(spread.select("a")).distinct().join(sets, F.col("_w") == F.col("a"))
