@@ -99,7 +99,8 @@ def sample(labelled: DataFrame, text: str, label: str, sample_rows: int = SAMPLE
     rows = labelled.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{label}`").cast("string").alias("_label")).where("_text is not null and _label is not null")
     hashed = rows.withColumn("_h", F.xxhash64("_text", "_label"))
     shares = hashed.groupBy("_label").agg(F.approx_count_distinct("_h").alias("_n")).select(F.col("_label").alias("_l"), F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("_n")).alias("_share"))
-    chosen = hashed.join(shares, F.col("_label") == F.col("_l")).where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * F.lit(float(1 << 30)))
+    # a row for each label, of which the model holds 256 KB each; a join by label would put a label in one task
+    chosen = hashed.join(F.broadcast(shares), F.col("_label") == F.col("_l")).where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * F.lit(float(1 << 30)))
     return chosen.select("_text", "_label", "_h").dropDuplicates(["_label", "_h"]).drop("_h")
 
 
