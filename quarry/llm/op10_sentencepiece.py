@@ -36,7 +36,7 @@ from quarry.llm import kernels as K
 from quarry.llm.common import bound_batches, map_arrow, table, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE, WIDE, MEMO = 1 << 18, 48, 200_000
+SLICE, WIDE, MEMO, FILTER = 1 << 19, 48, 200_000, 20
 SPACE_MARK = 0x2581
 _LOW = np.float32(-np.inf)
 
@@ -57,6 +57,8 @@ class Vocabulary:
     longest: int
     pool: np.ndarray  # decoded bytes of all pieces
     pool_at: np.ndarray
+    pair_bits: np.ndarray  # filters in front of the keys
+    string_bits: np.ndarray
 
 
 def load(path: str = MODEL, unigram: bool | None = None) -> Vocabulary:
@@ -90,9 +92,15 @@ def vocabulary(pieces: list[str], scores: list[float], types: list[int], unigram
                 ids.append(i)
     order = np.argsort(np.array(keys, np.int64), kind="stable")
     names = list(normal)
-    flat = np.frombuffer("".join(names).encode("utf-32-le"), "<u4")
-    ends = np.cumsum([len(p) for p in names])
-    hashes = K.span_hash(flat, np.append(0, ends[:-1]), ends)
+    hashes = np.empty(len(names), np.uint64)
+    sizes = np.array([len(p) for p in names])
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        chars_ = np.array([[ord(c) for c in names[i]] for i in own], np.uint64)
+        h = np.full(len(own), K._R)
+        for c in chars_.T:
+            h = _grown(h, c)
+        hashes[own] = h
     by_hash = np.argsort(hashes, kind="stable")
     plain = []
     for i, (p, t) in enumerate(zip(pieces, types, strict=True)):
@@ -101,20 +109,41 @@ def vocabulary(pieces: list[str], scores: list[float], types: list[int], unigram
         pieces, np.array(scores, np.float32), unigram, types.index(2) if 2 in types else 0, byte_ids, chars, np.unique([ord(c) for p in names if len(p) > 1 for c in p]).astype(np.int64),
         np.array(keys, np.int64)[order], np.array(ids, np.int64)[order], hashes[by_hash], np.array([normal[p] for p in names], np.int64)[by_hash], max(map(len, names)),
         np.frombuffer(b"".join(plain), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in plain]))),
+        _filter(np.array(keys, np.int64)), _filter(hashes),
     )
 
 
-def _probe(keys: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.full(wanted.shape, -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, ids[at], -1)
+def _grown(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hashes of strings with one more character each."""
+    h = (h ^ c) * K._Q
+    return h ^ (h >> np.uint64(31))
+
+
+def _filter(keys: np.ndarray) -> np.ndarray:
+    """Which values of a key's FILTER bits occur: most probes that find nothing end there."""
+    out = np.zeros(1 << FILTER, bool)
+    out[_bits(keys)] = True
+    return out
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64, copy=False) * K._P) >> np.uint64(64 - FILTER)
+
+
+def _probe(keys: np.ndarray, ids: np.ndarray, wanted: np.ndarray, held: np.ndarray) -> np.ndarray:
+    out = np.full(wanted.shape, -1, np.int64)
+    some = held[_bits(wanted)]
+    if some.any():
+        own = wanted[some]
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        out[some] = np.where(keys[at] == own, ids[at], -1)
+    return out
 
 
 def _pairs(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(piece, score) of each adjacent pair; -1 and minus infinity where it is no piece."""
     ok = (left >= 0) & (right >= 0)
-    ids = np.where(ok, _probe(v.pair_keys, v.pair_ids, (np.where(ok, left, 0) << 32) | np.where(ok, right, 0)), -1)
+    ids = np.where(ok, _probe(v.pair_keys, v.pair_ids, (np.where(ok, left, 0) << 32) | np.where(ok, right, 0), v.pair_bits), -1)
     return ids, np.where(ids >= 0, v.scores[ids], _LOW)
 
 
@@ -193,15 +222,14 @@ def viterbi(v: Vocabulary, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best segmentation of segments of one length (rows of code points) by summed scores: (ids padded at
     the end, how many). A single character that is no piece costs the lowest score less 10."""
     n, width = chars.shape
-    spans = K.Spans(np.ascontiguousarray(chars).ravel())
-    row = np.arange(n)[:, None] * width
+    points, h = chars.astype(np.uint64), np.full((n, width + 1), K._R)
     floor = np.float32((v.scores[v.string_ids].min() if len(v.string_ids) else 0) - 10)
     longest = min(v.longest, width)
     # pieces[k]: the piece of k + 1 characters that begins at each place, or -1
     pieces = []
     for size in range(1, longest + 1):
-        at = row + np.arange(width - size + 1)
-        pieces.append(_probe(v.string_keys, v.string_ids, spans.hash(at.ravel(), at.ravel() + size)).reshape(at.shape))
+        h = _grown(h[:, : width - size + 1], points[:, size - 1 :])  # of the substrings from each place on
+        pieces.append(_probe(v.string_keys, v.string_ids, h, v.string_bits))
     worth = [np.where(p >= 0, v.scores[p], floor if k == 0 else _LOW) for k, p in enumerate(pieces)]
     best = np.zeros((n, width + 1), np.float32)
     back, piece = np.zeros((n, width + 1), np.int64), np.zeros((n, width + 1), np.int64)
@@ -303,12 +331,9 @@ class Memo:
             setattr(self, name, np.concatenate((getattr(self, name), new))[order])
 
 
-def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all rows, row bounds) of UTF-8 texts."""
-    rows = len(offsets) - 1
-    memo = memo if memo is not None else Memo()
-    if not len(data):
-        return np.empty(0, np.int64), np.zeros(rows + 1, np.int64)
+def split(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments of UTF-8 texts: (code points; rows that are not empty; where each begins; where each segment
+    begins; hash of each different one; one of its places; its length; which of them every segment is)."""
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4").astype(np.int64)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
     held = np.flatnonzero(np.diff(lead))
@@ -318,11 +343,20 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, memo: Memo | No
     first = np.append(lead[held] + np.arange(len(held)), len(text))
     starts, ends = _segments(v, text, first)
     keys, one, which = distinct(text, starts, ends)
-    s, size = starts[one], (ends - starts)[one]
+    return text, held, first, starts, keys, starts[one], (ends - starts)[one], which
+
+
+def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, memo: Memo | None = None, parts: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rows, row bounds) of UTF-8 texts. parts: their segments, if they are known."""
+    rows = len(offsets) - 1
+    memo = memo if memo is not None else Memo()
+    if not len(data):
+        return np.empty(0, np.int64), np.zeros(rows + 1, np.int64)
+    text, held, first, starts, keys, s, size, which = parts or split(v, data, offsets)
     entry = memo.find(keys, text, s, size)
     known = entry >= 0
     # the ids that this slice needs are copied out, so that the memo may be emptied
-    length = np.zeros(len(one), np.int64)
+    length = np.zeros(len(s), np.int64)
     length[known] = memo.length[entry[known]]
     where = np.cumsum(length) - length
     chunks = [memo.ids[_ragged(memo.where[entry[known]], length[known])]]
@@ -420,9 +454,11 @@ def tokens(docs: DataFrame, v: Vocabulary, text: str = "text", keep: tuple[str,
         memos = {n: Memo() for n in every}
         for batch in batches:
             for rows, data, offsets in K.slices(batch, "_text", SLICE):
-                columns = list(rows.columns[1:])
+                columns, parts = list(rows.columns[1:]), None
                 for n, vocabulary_ in every.items():
-                    ids, bounds = encode(vocabulary_, data, offsets, memos[n])
+                    if len(data) and (parts is None or not np.array_equal(vocabulary_.joins, v.joins)):  # same cuts, same segments
+                        parts = split(vocabulary_, data, offsets)
+                    ids, bounds = encode(vocabulary_, data, offsets, memos[n], parts)
                     same = _same(data, offsets, *decode(vocabulary_, ids, bounds))
                     columns += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(bounds), pa.int64()), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names[1:], *(x for n in every for x in n)])
