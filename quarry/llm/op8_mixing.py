@@ -260,7 +260,8 @@ def plan(
         F.max("_extra").alias("_extra"), F.max("words").alias("words"), F.collect_list(F.when(F.col("_pass") < F.col("_whole"), F.col("shard"))).alias("_shards"), F.max(F.when(F.col("_pass") == F.col("_whole"), F.col("shard"))).alias("_last"),
     )
     block = materialise(block, "mix-drawn")
-    out = blocked.join(block, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_b")) & (F.col("size") > 0), "left").drop("_bs", "_b")
+    # the blocks' file is small for its rows, and its size no bound for a broadcast
+    out = blocked.join(block.hint("merge"), F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_b")) & (F.col("size") > 0), "left").drop("_bs", "_b")
     # documents of the block in which the target is met are ordered; other blocks are whole
     partial = (F.col("_extra") > 0) & (F.col("_extra") < F.col("words"))
     ordered = _before(out.where(F.coalesce(partial, F.lit(False))), ["source", "_block"], F.xxhash64(F.lit(seed + 2), *own, "size", "_row"), {"_running": F.col("size")})
