@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import materialise, table, trimmed
 
-SHARD, QUERIES, STEP = 16_384, 512, 8
+SHARD, QUERIES, STEP = 16_384, 512, 16
 
 
 def _quantised(batch: pa.RecordBatch, scale: float) -> Iterator[tuple]:
@@ -86,13 +86,14 @@ def _as(values: np.ndarray, kind: type) -> np.ndarray:
 
 
 class Postings:
-    """A shard by dimension: the vectors that are not zero there (None: all) and the largest and least values."""
+    """A shard by dimension: the vectors that are not zero there, and the largest and least values. A posting
+    with more than a quarter of the vectors is kept as the whole column (None), zeros and all."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, kind: type) -> None:
         self.values = np.ascontiguousarray(_as(vectors, kind).T)
         self.ids, self.rows, self.kind = ids, rows, kind
         self.high, self.low = self.values.max(1), self.values.min(1)
-        self.held = [None if (v != 0).all() else np.flatnonzero(v != 0) for v in self.values]
+        self.held = [None if 4 * np.count_nonzero(v) > len(v) else np.flatnonzero(v != 0) for v in self.values]
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -141,7 +142,7 @@ def maxscore(shard: Postings, query: np.ndarray, own: int, k: int, floor: object
         if at >= len(terms):
             break
         ok = mine if alive is None else mine[alive]
-        if int(ok.sum()) > k:  # k candidates reach at least this, whatever the other terms add
+        if (floor is None or 2 * at >= len(terms)) and int(ok.sum()) > k:  # k candidates reach at least this, whatever the other terms add
             sure = np.partition(partial[ok], int(ok.sum()) - k)[int(ok.sum()) - k] + worst[at]
             floor = sure if floor is None else max(floor, sure)
         if floor is not None:
